@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi
+from . import bpe, imi, oddsketch
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return imi.neighbour_pairs(imi.nearest_vectors(table(spark, folder, "url_nodes")))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = oddsketch.near_duplicates(table(spark, folder, "page_content"), threshold=0.5, shingle=3, min_words=40, bands=90, rows=5)
+    return pairs.select("id_a", "id_b")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"))
 
