@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, oddsketch
+from . import bpe, imi, oddsketch, sitelines
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +20,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("id_a", "id_b")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = sitelines.repeated_lines(table(spark, folder, "page_content"), table(spark, folder, "url_nodes"))
+    return lines.select("id", "line_no")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"))
 
