@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, oddsketch, sitelines
+from . import bpe, imi, mainbody, oddsketch, sitelines
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.boilerplate_lines(table(spark, folder, "page_content"), table(spark, folder, "url_nodes"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
