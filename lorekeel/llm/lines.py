@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DATE = re.compile(r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\b|\b\d{1,2}\.?\s+(?:de\s+)?[^\W\d_]{3,12}\.?,?\s+(?:de\s+)?(?:19|20)\d\d\b|\b[^\W\d_]{3,12}\.?\s+\d{1,2},?\s+(?:19|20)\d\d\b")
-_ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+|(?<!\w)/[\w.~%-]+[^\s]*|\b\w+(?:\.\w+)+(?::\d+)?|\b\w+:\d+\b")
+ADDRESS_FORM = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+|(?<!\w)/[\w.~%-]+[^\s]*|\b\w+(?:\.\w+)+(?::\d+)?|\b\w+:\d+\b")
 _WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile(r"[^\W_]+|[\x01\x02]")
 #: Stand for a filled-in date, address or number in a line's words.
@@ -30,7 +30,7 @@ def line_words(line: str) -> list[str]:
     text = fold(line)
     if any(c.isdigit() for c in text) or "/" in text or "@" in text or "." in text:
         text = _DATE.sub(" \x01 ", text)
-        text = _ADDRESS.sub(" \x02 ", text.rstrip(" .!?,;:)»”\"'"))
+        text = ADDRESS_FORM.sub(" \x02 ", text.rstrip(" .!?,;:)»”\"'"))
         out: list[str] = []
         for word in _MARKED.findall(text):
             if word == "\x01":

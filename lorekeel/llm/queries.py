@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, mainbody, oddsketch, sitelines
+from . import bpe, imi, mainbody, oddsketch, residue, sitelines
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return imi.neighbour_pairs(imi.nearest_vectors(table(spark, folder, "url_nodes")))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "page_content")).select("id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = oddsketch.near_duplicates(table(spark, folder, "page_content"), threshold=0.5, shingle=3, min_words=40, bands=90, rows=5)
     return pairs.select("id_a", "id_b")
