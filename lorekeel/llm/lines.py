@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 _DATE = re.compile(r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\b|\b\d{1,2}\.?\s+(?:de\s+)?[^\W\d_]{3,12}\.?,?\s+(?:de\s+)?(?:19|20)\d\d\b|\b[^\W\d_]{3,12}\.?\s+\d{1,2},?\s+(?:19|20)\d\d\b")
 ADDRESS_FORM = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+|(?<!\w)/[\w.~%-]+[^\s]*|\b\w+(?:\.\w+)+(?::\d+)?|\b\w+:\d+\b")
 _WORD = re.compile(r"[^\W_]+")
-_MARKED = re.compile(r"[^\W_]+|[\x01\x02]")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_MARKED = re.compile(r"[^\W_]+|[\x01-\x03]")
+_SPECIAL = re.compile(r"[\d/@]|\w\.\w")
+#: A run of words with digits in them, as 1,234 or 10 000, is one number.
+_NUMBERS = re.compile(r"[^\W_]*\d[^\W_]*(?:[\W_]+[^\W_]*\d[^\W_]*)*")
 #: Stand for a filled-in date, address or number in a line's words.
 DATE, ADDRESS, NUMBER = "%d", "%a", "%n"
+_MARKS = {"\x01": DATE, "\x02": ADDRESS, "\x03": NUMBER}
 
 
 def fold(text: str) -> str:
@@ -22,27 +27,18 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKD", text).casefold()
-    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
+    return text if text.isascii() else _COMBINING.sub("", text)
 
 
 def line_words(line: str) -> list[str]:
     """The words of a line, with dates, addresses and numbers replaced by marks."""
     text = fold(line)
-    if any(c.isdigit() for c in text) or "/" in text or "@" in text or "." in text:
-        text = _DATE.sub(" \x01 ", text)
-        text = ADDRESS_FORM.sub(" \x02 ", text.rstrip(" .!?,;:)»”\"'"))
-        out: list[str] = []
-        for word in _MARKED.findall(text):
-            if word == "\x01":
-                word = DATE
-            elif word == "\x02":
-                word = ADDRESS
-            elif any(c.isdigit() for c in word):
-                word = NUMBER
-            if not (out and word == out[-1] == NUMBER):
-                out.append(word)
-        return out
-    return _WORD.findall(text)
+    if not _SPECIAL.search(text):
+        return _WORD.findall(text)
+    text = _DATE.sub(" \x01 ", text)
+    text = ADDRESS_FORM.sub(" \x02 ", text.rstrip(" .!?,;:)»”\"'"))
+    text = _NUMBERS.sub(" \x03 ", text)
+    return [_MARKS.get(word, word) for word in _MARKED.findall(text)]
 
 
 def key_of(words: list[str]) -> int:

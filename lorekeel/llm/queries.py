@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, mainbody, oddsketch, residue, sitelines
+from . import bpe, imi, leakage, mainbody, oddsketch, residue, sitelines
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,5 +37,9 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name[0] == "p" and name[1].isdigit()}

@@ -38,7 +38,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "503 Service Unavailable",
         "500 Internal Server Error",
         "Fatal error: cannot connect to database in on line",
-        "Application exception: NullReference at render",
+        "Application exception: NullReference at",
         "Uncaught exception in stack trace",
         "is down for maintenance. We expect to be back in minutes.",
         "Leider ist ein Fehler aufgetreten.",
