@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, leakage, mainbody, oddsketch, residue, sitelines
+from . import bpe, imi, langid, leakage, mainbody, oddsketch, residue, sitelines
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.mislabelled(langid.languages(table(spark, folder, "documents"), table(spark, folder, "language_samples")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
