@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, imi, langid, leakage, mainbody, oddsketch, residue, sitelines
+from . import bpe, imi, langid, leakage, mainbody, oddsketch, residue, sitelines, truncation
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,5 +45,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents")).filter("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_by_source(truncation.truncated(table(spark, folder, "documents"), keep=("source",)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name[0] == "p" and name[1].isdigit()}
