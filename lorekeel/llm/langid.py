@@ -105,14 +105,14 @@ def languages(
     gain: float = 0.2,
     least_letters: int = 12,
 ) -> DataFrame:
-    """Rows (id, seg_no, lang, confidence, chars, words, label_names) for each document and each of its lines in a language.
+    """Rows (id, seg_no, lang, confidence, chars, words, label_names, main) for each document and each of its lines in a language.
 
     seg_no is -1 for the document, whose language is the one with most
     characters (the first by code of equal ones), and the line's number from 0
     otherwise, blank lines counted too. Lines of code, numbers, links and the
     like have no language and give no row; neither do documents without a line
     in a language, nor null and empty texts. `label_names` is the code that the
-    document's label names, null if none. Repeated rows come out repeatedly;
+    document's label names, null if none, and `main` the document's language. Repeated rows come out repeatedly;
     other columns are ignored; an empty table gives no rows. One scan, no
     shuffle: the samples (bounded by MAX_SAMPLE_BYTES a language) are broadcast.
     """
@@ -126,6 +126,7 @@ def languages(
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
+            mains: list[str] = []
             for n, (text, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if not text or text.isspace():
                     continue
@@ -144,19 +145,19 @@ def languages(
                     main = min(chars, key=lambda c: (-chars[c], c))
                     share = weight[main] / sum(chars.values())
                     rows.append((-1, main, share, chars[main], 0, named))
+                    mains += [main] * (len(rows) - first)
                 at += [n] * (len(rows) - first)
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=["id", "seg_no", "lang", "confidence", "chars", "words", "label_names"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays, pa.array(mains, pa.string())], names=["id", "seg_no", "lang", "confidence", "chars", "words", "label_names", "main"])
 
-    schema = f"id {id_type}, seg_no int, lang string, confidence double, chars int, words int, label_names string"
+    schema = f"id {id_type}, seg_no int, lang string, confidence double, chars int, words int, label_names string, main string"
     return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def mislabelled(found: DataFrame, id_col: str = "doc_id", least_words: int = 5) -> DataFrame:
     """Of `languages` rows: documents whose label doesn't name their language, and lines of enough words in another language than their document's."""
-    main = found.filter("seg_no = -1").select(id_col, F.col("lang").alias("main")).distinct()
-    wrong = found.filter("seg_no = -1 and not (label_names <=> lang)").select(id_col, "seg_no", "lang")
-    lines = found.filter(f"seg_no >= 0 and words >= {least_words}").join(main, id_col).filter("lang <> main").select(id_col, "seg_no", "lang")
-    return wrong.unionByName(lines).distinct()
+    wrong = (F.col("seg_no") == -1) & ~F.col("label_names").eqNullSafe(F.col("lang"))
+    other = (F.col("seg_no") >= 0) & (F.col("words") >= least_words) & (F.col("lang") != F.col("main"))
+    return found.filter(wrong | other).select(id_col, "seg_no", "lang").distinct()
