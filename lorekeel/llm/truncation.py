@@ -26,8 +26,10 @@ from .langid import named_language
 
 #: Context lengths in characters, longest first.
 ORDERS = (10, 6, 3)
-#: Occurrences below which a context gives way to a shorter one.
-SUPPORT = 10
+#: Contexts seen less often say nothing; the shorter one decides.
+SUPPORT = 2
+#: Weight of the shorter context's share of ends, in occurrences.
+DRAW = 2.0
 _START, _LINE, _DOC = 15, 16, 17
 _CLASSES: list[np.ndarray] = []
 #: Marks of omission, words that follow them, and remnants of broken characters, entities and tags.
@@ -127,17 +129,17 @@ def truncated(
     text_col: str = "text",
     lang_col: str | None = "lang",
     keep: tuple[str, ...] = (),
-    prior: float = 0.1,
-    rounds: int = 5,
+    steady: float = 50.0,
 ) -> DataFrame:
     """Rows (id, *keep, log_odds, marked, cut) of all rows with a text; `cut` says whether it breaks off.
 
     Null, empty and blank texts are complete and give no row. log_odds is that
     of an end against a continuation after the text's last context; a mark of
-    omission or a broken remnant is taken off first (`marked`) and, after
-    anything but a full stop, makes a cut. The threshold on log_odds is found
-    for each language from the share of cut texts that the log-odds of its
-    texts imply, starting from `prior`. Repeated rows come out repeatedly;
+    omission or a broken remnant is taken off first (`marked`) and makes a cut.
+    Nothing is a cut after the stop of a sentence. The threshold on log_odds is found
+    for each language in this column: the value that parts the log-odds of its
+    texts in two groups of least spread, drawn to that of all languages by
+    `steady` texts. Repeated rows come out repeatedly;
     columns other than those named are ignored; an empty table gives no rows.
 
     Counts are taken over all lines of all texts. Only contexts are shuffled;
@@ -185,32 +187,47 @@ def truncated(
     # A text's own end is one of those counted.
     own = F.when(F.col("marked"), 0).otherwise(1)
     totals = model.filter(F.col("n") == min(ORDERS)).agg(F.sum("ends").alias("e"), F.sum("goes").alias("g")).first()
-    base = math.log((totals["e"] or 1) / (totals["g"] or 1))
-    odds = None
+    base = ((totals["e"] or 0) + 1) / ((totals["e"] or 0) + (totals["g"] or 0) + 2)
+    # Each order's share of ends is drawn towards that of the next shorter one.
+    chance = F.lit(base)
     for n in reversed(ORDERS):
-        here = F.log((F.greatest(F.col(f"e{n}") - own, F.lit(0)) + 0.5) / (F.col(f"g{n}") + 0.5)) - base
-        enough = F.col(f"e{n}").isNotNull() & (F.col(f"e{n}") + F.col(f"g{n}") - own >= SUPPORT)
-        odds = F.when(enough, here) if odds is None else F.when(enough, here).otherwise(odds)
-    rated = cut(scored.select("id", *kept, "language", "marked", "stopped", F.coalesce(odds, F.lit(0.0)).alias("log_odds")))
+        ends = F.greatest(F.coalesce(F.col(f"e{n}"), F.lit(0)) - own, F.lit(0))
+        chance = (ends + DRAW * chance) / (ends + F.coalesce(F.col(f"g{n}"), F.lit(0)) + DRAW)
+    odds = F.log(chance / (1 - chance)) - math.log(base / (1 - base))
+    rated = cut(scored.select("id", *kept, "language", "marked", "stopped", odds.alias("log_odds")))
     binned = rated.filter("not marked").groupBy("language", F.round(F.greatest(F.lit(-20), F.least(F.lit(20), F.col("log_odds"))), 1).alias("b")).agg(F.count("*").alias("n")).collect()
-    thresholds = _thresholds([(r["language"], r["b"], r["n"]) for r in binned], prior, rounds)
-    limit = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(thresholds.items()) for x in pair])[F.col("language")] if thresholds else F.lit(None).cast("double"), F.lit(math.log(prior / (1 - prior))))
-    is_cut = F.when(F.col("marked"), ~F.col("stopped")).otherwise(F.col("log_odds") < limit)
+    thresholds = _thresholds([(r["language"], r["b"], r["n"]) for r in binned], steady)
+    limit = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(thresholds.items()) for x in pair])[F.col("language")] if thresholds else F.lit(None).cast("double"), F.lit(0.0))
+    is_cut = ~F.col("stopped") & (F.col("marked") | (F.col("log_odds") < limit))
     names = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     return rated.select(F.col("id").alias(id_col), *names, "log_odds", "marked", is_cut.alias("cut"))
 
 
-def _thresholds(bins: list[tuple[str, float, int]], prior: float, rounds: int) -> dict[str, float]:
-    """For each language the log-odds below which a cut is likelier, from the share of cuts its texts imply."""
+def _thresholds(bins: list[tuple[str, float, int]], steady: float) -> dict[str, float]:
+    """For each language the log-odds that part its texts in two groups of least spread.
+
+    The texts of all languages together count as `steady` texts of each, so
+    that a language of few texts takes the common threshold.
+    """
+    at = np.round(np.arange(-60, 61) / 10, 1)
+    whole = np.zeros(len(at))
+    by_language: dict[str, np.ndarray] = {}
+    for language, b, n in bins:
+        place = int(round((min(6.0, max(-6.0, b)) + 6.0) * 10))
+        by_language.setdefault(language, np.zeros(len(at)))[place] += n
+        whole[place] += n
     out = {}
-    for language in {b[0] for b in bins}:
-        own = [(b, n) for name, b, n in bins if name == language]
-        share = prior
-        for _ in range(rounds):
-            # A few imaginary texts at the prior steady small languages.
-            likely = sum(n * share / (share + (1 - share) * math.exp(min(b, 30))) for b, n in own)
-            share = min(0.5, max(0.01, (likely + 20 * prior) / (sum(n for _, n in own) + 20)))
-        out[language] = math.log(share / (1 - share))
+    for language, counts in by_language.items():
+        mixed = counts + steady * whole / max(1.0, whole.sum())
+        below, total = np.cumsum(mixed), mixed.sum()
+        sums = np.cumsum(mixed * at)
+        above = total - below
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = below * above * (sums / below - (sums[-1] - sums) / above) ** 2
+        between = np.where((below > 0) & (above > 0), between, 0)
+        best = np.flatnonzero(between >= between.max() - 1e-9 * abs(between.max()))
+        # Any value in the gap parts them alike; its middle is taken.
+        out[language] = float(at[best].mean() + 0.05) if between.max() > 0 else 0.0
     return out
 
 
