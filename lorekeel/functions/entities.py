@@ -25,8 +25,8 @@ MOST = 200
 
 def distinct_ignoring_case(found: Column) -> Column:
     """First of each value that is equal up to case, in order."""
-    keep = lambda x, i: ~F.array_contains(F.transform(F.slice(found, F.lit(1), i), lambda y: F.lower(y)), F.lower(x))
-    return F.filter(found, keep)
+    none = F.array().cast("array<string>")
+    return F.aggregate(found, none, lambda kept, x: F.when(F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.array_append(kept, x)))
 
 
 def entity(text: Column, slot: str) -> Column:

@@ -70,7 +70,7 @@ def sanitised(url: Column) -> Column:
 
 def aggregation_key(url: Column) -> Column:
     """Domain and first path segment; the domain alone for a home page."""
-    first = F.element_at(F.split(F.ltrim(F.lit("/"), path(url)), "/"), 1)
+    first = F.element_at(F.split(F.ltrim(path(url), F.lit("/")), "/"), 1)
     return F.when(host(url).isNull(), url).when(first == "", domain(url)).otherwise(F.concat(domain(url), F.lit("/"), first))
 
 
@@ -89,7 +89,7 @@ def path_depth(url: Column) -> Column:
 
 def cache_key(url: Column) -> Column:
     """URL in lower case without fragment, end slashes and default port."""
-    bare = F.rtrim(F.lit("/"), without_fragment(F.lower(F.trim(url))))
+    bare = F.rtrim(without_fragment(F.lower(F.trim(url))), F.lit("/"))
     return F.regexp_replace(F.regexp_replace(bare, r"^(http://[^/?#]*):80(?=[/?#]|$)", "$1"), r"^(https://[^/?#]*):443(?=[/?#]|$)", "$1")
 
 

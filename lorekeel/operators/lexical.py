@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -70,11 +70,9 @@ def bm25f(docs: DataFrame, queries: DataFrame, doc_id: str, title_col: str, body
 
 def top(scored: DataFrame, k: int, score: str = "score", per: str | None = "query_id", tie: str = "id") -> DataFrame:
     """The k best rows, of each query if `per` is given, with their rank from 1; ties go to the smaller id."""
-    order = [F.col(score).desc(), F.col(tie).asc()]
+    order = [F.round(score, 9).desc(), F.col(tie).asc()]
     if per is None:
         return scored.orderBy(*order).limit(k)
-    from pyspark.sql import Window
-
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).filter(F.col("rank") <= k)
 
 
@@ -99,8 +97,6 @@ def rake(docs: DataFrame, id_col: str, text_col: str, k: int = 15, least_bytes:
 
     Texts of fewer than `least_bytes` bytes give none; ties go by phrase.
     """
-    from pyspark.sql import Window
-
     long = docs.filter(F.octet_length(text_col) >= least_bytes)
     marked = F.regexp_replace(F.lower(text_col), r"[^a-z0-9à-öø-ÿ\s'-]+", " | ")
     parts = F.filter(F.split(marked, r"\s+"), lambda w: w != "")
