@@ -86,7 +86,8 @@ def contexts(joined: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.
     wanted = sorted(ORDERS)
     for j in range(max(ORDERS)):
         moved = np.full(n, _START, np.int64)
-        moved[j:] = value[: n - j] if j else value
+        if j < n:
+            moved[j:] = value[: n - j]
         context = context | np.where(j <= since, moved << (4 * j), 0)
         if j + 1 in wanted:
             out.append(context.copy())
