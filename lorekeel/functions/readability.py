@@ -61,7 +61,7 @@ def quality(ease: Column, grade: Column) -> Column:
     """0.7 of ease in hundredths and 0.3 of a grade term that is 1 from grade 6 to 12; 0.5 where unknown."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     term = F.when(grade.between(6, 12), F.lit(1.0)).when(grade < 6, grade / 6.0).otherwise((20.0 - grade) / 8.0)
-    return F.coalesce(0.7 * clamp(ease / 100.0) + 0.3 * clamp(term), F.lit(0.5))
+    return F.when(ease.isNotNull() & grade.isNotNull(), 0.7 * clamp(ease / 100.0) + 0.3 * clamp(term)).otherwise(F.lit(0.5))
 
 
 def hash_vector(text: str | None, dims: int = 32) -> list[float]:

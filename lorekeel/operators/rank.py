@@ -90,8 +90,8 @@ def intent_boost(score: Column, tier: Column, wants_code: Column) -> Column:
 
 
 def age_days(at: Column, as_of: Column) -> Column:
-    """Whole days from `at` to `as_of`, never negative."""
-    return F.greatest(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(at)) / 86400), F.lit(0))
+    """Whole days from `at` to `as_of`, never negative; null for an unknown time."""
+    return F.when(at.isNotNull(), F.greatest(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(at)) / 86400), F.lit(0)))
 
 
 def freshness(at: Column, as_of: Column, days: float = 180.0, mode: str = "e_folding") -> Column:

@@ -271,7 +271,7 @@ def _signals(spark: SparkSession, folder: str) -> DataFrame:
 _SIGNALS_SQL = f"""
 {_bm25_sql()}, c0 AS (SELECT * FROM b WHERE rank <= 150),
 c1 AS (SELECT query_id, id, CASE WHEN max(score) OVER w - min(score) OVER w < 2.220446049250313e-16 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS bm25 FROM c0 WINDOW w AS (PARTITION BY query_id)),
-c2 AS (SELECT query_id, printf('%010d', id) AS url, coalesce(domain, '') AS domain, bm25, coalesce(exp(-greatest(floor((epoch(TIMESTAMPTZ '{AS_OF}+00') - floor(epoch(fetched_at))) / 86400), 0) / 180.0), 0.0) AS freshness, least(1.0, length(text) / 2000.0) AS quality,
+c2 AS (SELECT query_id, printf('%010d', id) AS url, coalesce(domain, '') AS domain, bm25, CASE WHEN fetched_at IS NULL THEN 0.0 ELSE exp(-greatest(floor((epoch(TIMESTAMPTZ '{AS_OF}+00') - floor(epoch(fetched_at))) / 86400), 0) / 180.0) END AS freshness, least(1.0, length(text) / 2000.0) AS quality,
   CASE source_tier WHEN 'official' THEN 1.0 WHEN 'reference' THEN 0.7 ELSE 0.4 END AS authority, CASE WHEN source_tier = 'raw' THEN 0.25 END AS machine, coalesce(source_tier = 'raw', false) AS has_example FROM c1 JOIN documents ON doc_id = id),
 c3 AS (SELECT *, greatest(0.001, least(1.0, (CASE WHEN has_example THEN 0.05 ELSE 0 END + 0.5 * bm25 + 0.15 * freshness + 0.1 * coalesce(quality, 0) + 0.1 * authority + 0.2 * coalesce(machine, 0)) / (0.75 + CASE WHEN quality IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN machine IS NOT NULL THEN 0.2 ELSE 0 END))) AS s0,
   0.4 + 0.2 * coalesce(quality, 0.5) + 0.15 * bm25 + 0.1 * freshness + CASE WHEN has_example THEN 0.05 ELSE 0 END AS fs, coalesce(quality, 0.5) >= 0.45 AS passed, row_number() OVER (PARTITION BY query_id ORDER BY url) > 128 AS late FROM c2),

@@ -122,7 +122,7 @@ def robots(files: DataFrame, id_col: str, body_col: str, agent: str = "lorekeel"
 def allowed(path: Column, rules: Column) -> Column:
     """Whether robots rules let a path be read: the longest matching rule counts, allow before disallow, * and $ as wild cards."""
     pattern = lambda r: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(r["path"], r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*"))
-    fits = F.filter(rules, lambda r: path.rlike(pattern(r)))
+    fits = F.filter(rules, lambda r: F.regexp_like(path, pattern(r)))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), (r["kind"] == "allow").cast("int").alias("ok"))))
     return F.coalesce(best["ok"] == 1, F.lit(True))
 
