@@ -330,17 +330,36 @@ def machine_readability(spark: SparkSession, folder: str) -> DataFrame:
 _KEYWORDS_SQL = f"list_distinct_ordered(list_filter(list_transform(list_filter(regexp_split_to_array(lower({{0}}), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^a-z0-9à-öø-ÿ]+|[^a-z0-9à-öø-ÿ]+$', '', 'g')), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in T.STOP_WORDS + T.MODIFIERS)}], w) AND NOT regexp_matches(w, '^(19[0-9]{{{{2}}}}|20[0-9]{{{{2}}}}|2100)$')))"
 
 
-@query(
-    "WITH k AS (SELECT item_id, "
+_KEYWORD_ROWS = (
+    "k AS (SELECT item_id, "
     + _KEYWORDS_SQL.format("text").replace("list_distinct_ordered(", "(").replace("{{", "{").replace("}}", "}")
     + " AS ks FROM eval_items), u AS (SELECT item_id, unnest(ks) AS k, unnest(range(len(ks))) AS n FROM k), f AS (SELECT item_id, k, min(n) AS n FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n) AS p FROM f)"
-    " SELECT item_id, string_agg(k, ' ' ORDER BY n) AS keywords FROM r WHERE p <= 6 GROUP BY item_id"
 )
+
+
+@query(f"WITH {_KEYWORD_ROWS} SELECT item_id, string_agg(k, ' ' ORDER BY n) AS keywords FROM r WHERE p <= 6 GROUP BY item_id")
 def keyword_extract(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "eval_items").select("item_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
     return found.filter("keywords <> ''")
 
 
+@query(f"""
+WITH {_KEYWORD_ROWS}, q AS (SELECT item_id AS query_id, string_agg(k, ' ' ORDER BY n) AS query FROM r WHERE p <= 6 GROUP BY item_id),
+qt AS (SELECT query_id, unnest(list_distinct({TOKENS.format("query")})) AS term FROM q),
+d AS (SELECT doc_id, {TOKENS.format("text")} AS ts FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_length FROM d),
+e AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM d),
+p2 AS (SELECT doc_id, length, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p2 GROUP BY term),
+s AS (SELECT query_id, doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score FROM p2 JOIN df USING (term) JOIN qt USING (term) CROSS JOIN st GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10""")
+def search_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for the keywords of every evaluation item, all queries in one job."""
+    queries = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.array_join(T.keywords(F.col("text")), " ").alias("query"))
+    found = lexical.top(lexical.bm25(table(spark, folder, "documents"), queries, "doc_id", "text"), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("""
 SELECT doc_id, (CASE WHEN contains(h, 'museum') THEN 1 ELSE 0 END + CASE WHEN contains(h, 'cve-2024-3094') THEN 2 ELSE 0 END + CASE WHEN contains(h, 'timetable') THEN 1 ELSE 0 END)::INT AS matches
 FROM (SELECT doc_id, lower(concat_ws(' ', title, text)) AS h FROM documents)""")
