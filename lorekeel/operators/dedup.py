@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +25,23 @@ def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, hi, lo): the halves of a 64-bit SimHash over three-word shingles, as unsigned numbers.
 
     Texts of fewer than three words give 0 and 0. Each bit is the majority of
-    that bit over the md5 of all shingles; ties give 0. Votes are summed within
-    a partition, so 64 counts a document are shuffled and no words.
+    that bit over the md5 of all shingles; ties give 0. One row in, one row out:
+    words are split on the JVM side, votes are counted on whole arrays of bits,
+    and nothing is shuffled.
     """
-    base = docs.select(F.col(id_col).alias("id"), T.shingles(simhash_words(F.col(text_col)), 3).alias("sh"))
-    digest = base.select("id", F.explode_outer("sh").alias("s")).select("id", F.md5("s").alias("m"))
-    parts = digest.select("id", F.conv(F.substring("m", 1, 8), 16, 10).cast("long").alias("a"), F.conv(F.substring("m", 9, 8), 16, 10).cast("long").alias("b"))
-    vote = lambda c, i: F.sum(F.shiftright(F.col(c), i).bitwiseAND(F.lit(1)) * 2 - 1)
-    votes = parts.groupBy("id").agg(*[vote(c, i).alias(f"{c}{i}") for c in "ab" for i in range(32)])
-    bits = lambda c: sum((F.when(F.col(f"{c}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    return votes.select("id", bits("a").alias("hi"), bits("b").alias("lo"))
+    base = docs.select(F.col(id_col).alias("id"), simhash_words(F.col(text_col)).alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            halves = np.zeros((batch.num_rows, 2), np.int64)
+            for n, words in enumerate(batch.column(1).to_pylist()):
+                if words and len(words) >= 3:
+                    digests = b"".join([hashlib.md5(f"{a} {b} {c}".encode()).digest()[:8] for a, b, c in zip(words, words[1:], words[2:])])
+                    votes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2 - len(digests) // 8
+                    halves[n] = np.packbits(votes > 0).view(">u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "hi", "lo"])
+
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, hi long, lo long")
 
 
 def near_pairs(hashes: DataFrame, most_bits: int = NEAR_BITS) -> DataFrame:

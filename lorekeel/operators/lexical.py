@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import cut
 
 K1, B = 1.2, 0.75
+#: Distinct query terms that are broadcast at most.
+MAX_TERMS = 100_000
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -24,13 +27,19 @@ def saturation(tf: Column, length: Column, mean: Column) -> Column:
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
     """Rows (id, term, tf, length) of all documents, of the terms in `wanted` (column term) if given.
 
-    Term frequencies are summed within a partition before the shuffle; with
-    `wanted`, only rows of those terms are shuffled at all.
+    Term frequencies are summed within a partition before the shuffle. Up to
+    MAX_TERMS wanted terms (their number is checked) are broadcast, so that
+    only rows of those terms are shuffled; more are joined by a shuffle.
     """
     parts = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("tokens"))
-    rows = parts.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    # The length comes first, so that no row carries the token list; the explode is an outer one, since for a
+    # plain one the optimizer tests the list once more, and below the scan's spreading.
+    sized = parts.select("id", F.size("tokens").alias("length"), "tokens")
+    rows = sized.select("id", "length", F.explode_outer("tokens").alias("term")).filter("term is not null")
     if wanted is not None:
-        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+        terms = wanted.select("term").distinct()
+        few = terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+        rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
@@ -48,7 +57,7 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str = "query_id", query_text: str = "query", all_words: bool = False) -> DataFrame:
     """Rows (query_id, id, score, matched) of all queries in one job; with `all_words` only documents that hold every term."""
     terms = query_terms(queries, query_id, query_text)
-    found = postings(docs, doc_id, doc_text, terms)
+    found = cut(postings(docs, doc_id, doc_text, terms))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus_statistics(docs, doc_text)))
     part = idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("mean_length"))
@@ -61,7 +70,7 @@ def bm25f(docs: DataFrame, queries: DataFrame, doc_id: str, title_col: str, body
     terms = query_terms(queries, query_id, query_text)
     fields = [postings(docs, doc_id, c, terms).withColumn("field", F.lit(w)) for c, w in ((title_col, title_weight), (body_col, body_weight))]
     means = [corpus_statistics(docs, c).select(F.lit(w).alias("field"), "n_docs", "mean_length") for c, w in ((title_col, title_weight), (body_col, body_weight))]
-    found = fields[0].unionByName(fields[1])
+    found = cut(fields[0].unionByName(fields[1]))
     df = found.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(df, "term").join(terms, "term").join(F.broadcast(means[0].unionByName(means[1])), "field")
     part = F.col("field") * idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("mean_length"))
@@ -87,7 +96,7 @@ def sparse_vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def top_words(docs: DataFrame, text_col: str, k: int, least: int = 3) -> DataFrame:
     """The k most frequent words (word, n) of `least` characters or more that are no stop words."""
-    rows = docs.select(F.explode(T.tokens(F.col(text_col))).alias("word"))
+    rows = docs.select(F.explode_outer(T.tokens(F.col(text_col))).alias("word"))
     kept = rows.filter((F.length("word") >= least) & ~F.col("word").isin(T.STOP_WORDS))
     return kept.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
 

@@ -20,7 +20,7 @@ def query_ngrams(log: DataFrame, query_col: str, most: int = MAX_NGRAM) -> DataF
     parts = T.words(normalised_query(F.col(query_col)))
     rows = None
     for n in range(1, most + 1):
-        part = log.select(F.explode(T.shingles(parts, n)).alias("ngram"), F.lit(n).alias("ngram_len"))
+        part = log.select(F.explode_outer(T.shingles(parts, n)).alias("ngram"), F.lit(n).alias("ngram_len")).filter("ngram is not null")
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("ngram", "ngram_len").agg(F.count("*").alias("count"))
 

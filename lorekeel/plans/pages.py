@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, texts
 from ..sources import pages, readers
 from .registry import query
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "page_content").filter("content_html is not null").groupBy("id").agg(F.max("content_html").alias("h"), F.max("url_node_id").alias("n"))
+    rows = texts(spark, folder, "page_content").filter("content_html is not null").groupBy("id").agg(F.max("content_html").alias("h"), F.max("url_node_id").alias("n"))
     urls = table(spark, folder, "url_nodes").groupBy(F.col("id").alias("n")).agg(F.min("url").alias("u"))
     return pages.extract_pages(rows.join(urls, "n", "left"), "id", "h", "u")
 
@@ -39,7 +39,7 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def relevant_sentences(spark: SparkSession, folder: str) -> DataFrame:
     terms = F.array(F.lit("interest rates"), F.lit("timetable"))
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", pages.relevant_text(F.col("text"), terms).alias("relevant"))
+    return texts(spark, folder, "documents").filter("text is not null").select("doc_id", pages.relevant_text(F.col("text"), terms).alias("relevant"))
 
 
 @query()
@@ -61,4 +61,4 @@ def seed_catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def model_view(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.language_model_view(table(spark, folder, "documents"), "doc_id", "title", "url")
+    return readers.language_model_view(texts(spark, folder, "documents"), "doc_id", "title", "url")

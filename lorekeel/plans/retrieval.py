@@ -10,13 +10,13 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import fusion, lexical, rank, vector
 from ..operators.router import route
-from ..runtime import table
+from ..runtime import table, texts
 from .registry import query
 
 AS_OF = "2026-01-01 00:00:00"
 QUERIES = [(1, "museum catalogue interest rates"), (2, "winter timetable harbour authority"), (3, "lesson plans of the library portal"), (4, "bibliothèque horaire hiver")]
 _Q = ", ".join(f"({i}, '{q}')" for i, q in QUERIES)
-TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9à-öø-ÿ]+'), lambda w: w <> '')"
+TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -40,13 +40,13 @@ b AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.top(lexical.bm25(table(spark, folder, "documents"), asked(spark), "doc_id", "text"), 20)
+    found = lexical.top(lexical.bm25(texts(spark, folder, "documents"), asked(spark), "doc_id", "text"), 20)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_bm25_sql('HAVING count(*) = n_terms')} SELECT query_id, id AS doc_id, round(score, 6) AS score FROM s")
 def bm25_and_match(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.bm25(table(spark, folder, "documents"), asked(spark), "doc_id", "text", all_words=True)
+    found = lexical.bm25(texts(spark, folder, "documents"), asked(spark), "doc_id", "text", all_words=True)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -63,7 +63,7 @@ s AS (SELECT query_id, doc_id, sum(field * ln((n_docs - df + 0.5) / (df + 0.5) +
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 20""")
 def bm25f_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.top(lexical.bm25f(table(spark, folder, "documents"), asked(spark), "doc_id", "title", "text"), 20)
+    found = lexical.top(lexical.bm25f(texts(spark, folder, "documents"), asked(spark), "doc_id", "title", "text"), 20)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -72,7 +72,7 @@ WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS ts FROM documents),
 t AS (SELECT doc_id, unnest(ts) AS term FROM d), df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term)
 SELECT term, df, cf, round(ln(((SELECT count(*) FROM d) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df WHERE df >= 5""")
 def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     counted = lexical.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
     out = counted.crossJoin(F.broadcast(lexical.corpus_statistics(docs, "text")))
     return out.select("term", "df", "cf", F.round(lexical.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
@@ -80,7 +80,7 @@ def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH d AS (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents) SELECT doc_id, len(ts)::INT AS n_tokens, len(list_distinct(ts))::INT AS n_distinct FROM d")
 def tokens_stats(spark: SparkSession, folder: str) -> DataFrame:
-    parts = table(spark, folder, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
+    parts = texts(spark, folder, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
     return parts.select("doc_id", F.size("ts").alias("n_tokens"), F.size(F.array_distinct("ts")).alias("n_distinct"))
 
 
@@ -88,7 +88,7 @@ def tokens_stats(spark: SparkSession, folder: str) -> DataFrame:
 WITH t AS (SELECT unnest({TOKENS.format("text")}) AS word FROM documents)
 SELECT word, count(*) AS n FROM t WHERE length(word) >= 3 AND word NOT IN ({", ".join(repr(w) for w in T.STOP_WORDS)}) GROUP BY word ORDER BY n DESC, word LIMIT 50""")
 def top_words(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.top_words(table(spark, folder, "documents"), "text", 50)
+    return lexical.top_words(texts(spark, folder, "documents"), "text", 50)
 
 
 @query(f"""
@@ -99,13 +99,13 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT doc_id, count(*)::INT AS n_terms, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 4) AS mass
 FROM p JOIN df USING (term) CROSS JOIN st GROUP BY doc_id""")
 def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.sparse_vectors(table(spark, folder, "documents"), "doc_id", "text")
+    found = lexical.sparse_vectors(texts(spark, folder, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.size("weights").alias("n_terms"), F.round(F.aggregate(F.map_values("weights"), F.lit(0.0), lambda s, x: s + x), 4).alias("mass"))
 
 
 @query()
 def rake_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.rake(table(spark, folder, "documents").filter("lang = 'en'"), "doc_id", "text")
+    found = lexical.rake(texts(spark, folder, "documents").filter("lang = 'en'"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
 
 
@@ -126,7 +126,7 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "documents").select("doc_id", R.hash_embedding("text").alias("v"))
+    found = texts(spark, folder, "documents").select("doc_id", R.hash_embedding("text").alias("v"))
     return found.select("doc_id", F.size("v").alias("dims"), F.round(vector.norm(F.col("v")), 4).alias("norm"))
 
 
@@ -186,7 +186,7 @@ m AS (SELECT *, list_sum(list_transform(terms, lambda t: CASE WHEN contains(hay,
 SELECT query_id, id AS doc_id, round(1.0 / (60 + rank) * (1 + 0.25 * hit / len(terms)), 8) AS score FROM m""")
 def rblf_fuse(spark: SparkSession, folder: str) -> DataFrame:
     """Ranks biased by the share of keywords that a title holds."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     best = lexical.top(lexical.bm25(docs, asked(spark), "doc_id", "text"), 50)
     rows = best.join(docs.select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title")), "id").join(F.broadcast(asked(spark)), "query_id")
     hits = rows.select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("engine"), "rank", F.lit(1.0).alias("weight"), F.col("id").cast("string").alias("url"), "title", F.lit("").alias("snippet"), T.keywords(F.col("query")).alias("terms"))
@@ -204,7 +204,7 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, array_to_string(list
 fr AS (SELECT doc_id AS id FROM documents WHERE fetched_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00')
 SELECT query_id, id AS doc_id, round(score + CASE WHEN id IN (SELECT id FROM fr) THEN 0.03 ELSE 0 END, 8) AS score, signals || CASE WHEN id IN (SELECT id FROM fr) THEN ',freshness' ELSE '' END AS signals FROM f""")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    docs, vectors = table(spark, folder, "documents"), table(spark, folder, "embeddings")
+    docs, vectors = texts(spark, folder, "documents"), table(spark, folder, "embeddings")
     lex = lexical.top(lexical.bm25(docs, asked(spark), "doc_id", "text"), 50)
     near = asked(spark).join(vectors, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"))
     vec = vector.top_similar(vectors, near, 50, "vec_id", "embedding")
@@ -251,14 +251,14 @@ r AS (SELECT *, CASE WHEN two IN ('gov.uk','ac.uk','co.uk','org.uk','gov.au','ed
 c AS (SELECT url, {_TIER_SQL} AS tier FROM r)
 SELECT url, tier, CASE tier WHEN 'raw_source' THEN 0.95 WHEN 'primary_official' THEN 1.0 WHEN 'reference' THEN 0.7 WHEN 'encyclopedia' THEN 0.55 WHEN 'community' THEN 0.45 ELSE 0.6 END::DOUBLE AS precision FROM c""")
 def source_tier(spark: SparkSession, folder: str) -> DataFrame:
-    urls = table(spark, folder, "documents").select("url").filter("url is not null").union(spark.createDataFrame([(u,) for u in _SOURCES], "url string")).distinct()
+    urls = texts(spark, folder, "documents").select("url").filter("url is not null").union(spark.createDataFrame([(u,) for u in _SOURCES], "url string")).distinct()
     found = urls.select("url", rank.source_tier(F.col("url")).alias("tier"))
     return found.select("url", "tier", rank.precision(F.col("tier")).alias("precision"))
 
 
 def _signals(spark: SparkSession, folder: str) -> DataFrame:
     """One candidate a document and query: BM25, freshness, quality from length, authority from tier, vector from the embedding of its id."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     best = lexical.top(lexical.bm25(docs, asked(spark), "doc_id", "text"), 150)
     best = best.withColumn("bm25", fusion.min_max(F.col("score"), ["query_id"]))
     attributes = docs.select(F.col("doc_id").alias("id"), F.coalesce("domain", F.lit("")).alias("domain"), "fetched_at", "source_tier", F.least(F.lit(1.0), F.length("text") / 2000.0).alias("quality"))
@@ -321,7 +321,7 @@ def freshness(spark: SparkSession, folder: str) -> DataFrame:
 WITH r AS (SELECT id, max(content_markdown IS NOT NULL) AS markdown, max(contains(coalesce(content_html, ''), '<script')) AS structured, max(contains(coalesce(content_text, ''), '|')) AS pipe FROM page_content GROUP BY id)
 SELECT id, CASE WHEN markdown OR pipe OR structured THEN round(CASE WHEN markdown OR pipe THEN 0.25 ELSE 0.0 END + CASE WHEN structured THEN 0.2 ELSE 0.0 END, 6) END::DOUBLE AS score FROM r""")
 def machine_readability(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "page_content").groupBy("id").agg(
+    rows = texts(spark, folder, "page_content").groupBy("id").agg(
         F.max(F.col("content_markdown").isNotNull()).alias("markdown"), F.max(F.coalesce(F.col("content_html"), F.lit("")).contains("<script")).alias("structured"), F.max(F.coalesce(F.col("content_text"), F.lit("")).contains("|")).alias("pipe")
     )
     return rows.select("id", F.round(rank.machine_readability(F.lit(False), F.col("markdown") | F.col("pipe"), F.lit(False), F.col("structured")), 6).alias("score"))
@@ -356,7 +356,7 @@ SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OV
 def search_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for the keywords of every evaluation item, all queries in one job."""
     queries = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.array_join(T.keywords(F.col("text")), " ").alias("query"))
-    found = lexical.top(lexical.bm25(table(spark, folder, "documents"), queries, "doc_id", "text"), 10)
+    found = lexical.top(lexical.bm25(texts(spark, folder, "documents"), queries, "doc_id", "text"), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -365,13 +365,13 @@ SELECT doc_id, (CASE WHEN contains(h, 'museum') THEN 1 ELSE 0 END + CASE WHEN co
 FROM (SELECT doc_id, lower(concat_ws(' ', title, text)) AS h FROM documents)""")
 def keyword_matches(spark: SparkSession, folder: str) -> DataFrame:
     terms = F.array(F.lit("museum"), F.lit("cve-2024-3094"), F.lit("timetable"))
-    return table(spark, folder, "documents").select("doc_id", T.keyword_matches(terms, F.col("title"), F.col("text")).alias("matches"))
+    return texts(spark, folder, "documents").select("doc_id", T.keyword_matches(terms, F.col("title"), F.col("text")).alias("matches"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', title, text)), 'tide tables') AND contains(lower(concat_ws(' ', title, text)), 'local paper')")
 def phrase_filter(spark: SparkSession, folder: str) -> DataFrame:
     phrases = T.quoted_terms(F.lit('about "tide tables" and “Local Paper”'))
-    return table(spark, folder, "documents").filter(T.has_phrases(phrases, F.col("title"), F.col("text"))).select("doc_id")
+    return texts(spark, folder, "documents").filter(T.has_phrases(phrases, F.col("title"), F.col("text"))).select("doc_id")
 
 
 @query("""
@@ -402,8 +402,8 @@ def _route_sql() -> str:
 
 @query(_route_sql())
 def route_query(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").filter("title is not null").select(F.col("doc_id").alias("id"), F.col("title").alias("q")).unionByName(table(spark, folder, "eval_items").select((-F.col("item_id")).alias("id"), F.col("text").alias("q")))
-    routed = texts.select("id", route(F.col("q")).alias("r"))
+    titled = texts(spark, folder, "documents").filter("title is not null").select(F.col("doc_id").alias("id"), F.col("title").alias("q")).unionByName(table(spark, folder, "eval_items").select((-F.col("item_id")).alias("id"), F.col("text").alias("q")))
+    routed = titled.select("id", route(F.col("q")).alias("r"))
     return routed.select("id", "r.intent", "r.domain", "r.language", "r.confidence")
 
 
@@ -412,7 +412,7 @@ WITH o AS (SELECT id, content_text, excerpt FROM page_content)
 SELECT id, count(*) AS n, max(CASE WHEN coalesce(excerpt, '') <> '' THEN excerpt WHEN coalesce(content_text, '') <> '' THEN substring(content_text, 1, 200) || '…' ELSE id END) AS snippet FROM o GROUP BY id""")
 def repaired_snippets(spark: SparkSession, folder: str) -> DataFrame:
     fixed = rank.repaired_snippet(F.lit(""), F.col("excerpt"), F.col("content_text"), F.col("id"))
-    return table(spark, folder, "page_content").groupBy("id").agg(F.count("*").alias("n"), F.max(fixed).alias("snippet"))
+    return texts(spark, folder, "page_content").groupBy("id").agg(F.count("*").alias("n"), F.max(fixed).alias("snippet"))
 
 
 @query("""
@@ -422,6 +422,6 @@ def positional_relevance(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("domain")
-    rows = table(spark, folder, "documents").filter("domain is not null and url is not null")
+    rows = texts(spark, folder, "documents").filter("domain is not null and url is not null")
     rows = rows.withColumn("p", F.row_number().over(w.orderBy("url"))).withColumn("n", F.count("*").over(w))
     return rows.select("domain", "url", F.round(fusion.positional_relevance(F.col("p"), F.col("n")), 6).alias("relevance"))

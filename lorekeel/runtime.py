@@ -41,6 +41,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes below which a table is not worth spreading.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores: one that comes in fewer partitions than there are cores is dealt out.
+
+    A file of one row group is one task however large it is; where texts are
+    parsed that leaves the other cores idle. Scans of many files or row groups,
+    as on a cluster, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread over all cores."""
+    return spread(table(spark, folder, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
