@@ -19,6 +19,8 @@ from ..runtime import cut
 
 #: Rows of a cell that one task reads at most, on either side.
 BLOCK_ROWS = 4096
+#: Vectors on which the visits to each cell are counted, to lay out the work.
+LAYOUT_ROWS = 2048
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
@@ -65,6 +67,10 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), dtype=np.int64)
     norms = (centres * centres).sum(axis=1)
@@ -173,26 +179,42 @@ def nearest_vectors(
         wanted = units.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
         asked = asked.join(wanted.select("unit").distinct(), "unit", "left_semi")
 
+    def near_halves(part):
+        x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float32).reshape(-1, dims)
+        return _distances(x[:, :half], first), _distances(x[:, half:], second)
+
+    # How many queries come to each cell is counted on a sample; it only decides into how many parts they are cut.
+    sample = entries.orderBy(F.xxhash64("unit")).select("unit").limit(LAYOUT_ROWS).toArrow()
+    visits: dict[int, int] = {}
+    for part in sample.to_batches():
+        near1, near2 = near_halves(part)
+        for n in range(part.num_rows):
+            for c in walk_cells(near1[n], near2[n], counts, width, min_candidates):
+                visits[c] = visits.get(c, 0) + 1
+    scale = sum(counts.values()) / max(1, sample.num_rows)
+    parts = {cell: max(1, -(-round(visits.get(cell, 0) * scale) // BLOCK_ROWS)) for cell in counts}
+
+    def member(batches):
+        for batch in batches:
+            cells, ms = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            rows = [(n, c, m % blocks[c], p) for n, (c, m) in enumerate(zip(cells.tolist(), ms.tolist(), strict=True)) for p in range(parts[c])]
+            where = pa.array([row[0] for row in rows], pa.int64())
+            keys = [pa.array([row[k] for row in rows], pa.int32()) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(2).take(where), batch.column(0).take(where)], names=["cell", "block", "part", "m", "m_unit"])
+
     def probe(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float32).reshape(-1, dims)
-                near1 = ((x[:, None, :half] - first[None]) ** 2).sum(axis=2)
-                near2 = ((x[:, None, half:] - second[None]) ** 2).sum(axis=2)
-                rows = [(n, c, b) for n in range(len(x)) for c in walk_cells(near1[n], near2[n], counts, width, min_candidates) for b in range(blocks[c])]
+                near1, near2 = near_halves(part)
+                qs = part.column(1).to_pylist()
+                rows = [(n, c, b, q % parts[c]) for n, q in enumerate(qs) for c in walk_cells(near1[n], near2[n], counts, width, min_candidates) for b in range(blocks[c])]
                 where = pa.array([row[0] for row in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row[1] for row in rows], pa.int32()), pa.array([row[2] for row in rows], pa.int32()), part.column(1).take(where), part.column(0).take(where)],
-                    names=["cell", "block", "q", "unit"],
-                )
-
-    probes = asked.mapInArrow(probe, "cell int, block int, q long, unit binary")
-    # The queries of a block are cut into parts as well; each part meets a copy of the block's rows.
-    askers = probes.select("cell", "block").groupBy("cell", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    members = placed.select("cell", _block_of(blocks).alias("block"), "m", F.col("unit").alias("m_unit"))
-    members = members.join(askers, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    probes = probes.join(askers, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("q", "cell"), F.col("parts")).cast("int")).drop("parts")
+                keys = [pa.array([row[k] for row in rows], pa.int32()) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*keys, part.column(1).take(where), part.column(0).take(where)], names=["cell", "block", "part", "q", "unit"])
+
+    members = placed.select("unit", "cell", "m").mapInArrow(member, "cell int, block int, part int, m long, m_unit binary")
+    probes = asked.mapInArrow(probe, "cell int, block int, part int, q long, unit binary")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_m, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -213,11 +235,14 @@ def nearest_vectors(
     met = probes.groupBy("cell", "block", "part").cogroup(members.groupBy("cell", "block", "part"))
     found = met.applyInArrow(rerank, "q long, m long, cosine double")
     cosine = F.when(F.col("q") == F.col("m"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.round("cosine", 9)))
+    # Of each query the best entries, with all that tie with the last of them; only then their ids are looked up.
+    ranked = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-cosine).alias("d"), F.col("m").alias("m")))).alias("all"))
+    last = F.try_element_at("all", F.lit(keep + 1))["d"]
+    kept = ranked.select("q", F.explode(F.filter("all", lambda e: last.isNull() | (e["d"] <= last))).alias("e"))
     ids = placed.select("m", "ids")
-    # Of each query entry the best entries, then their ids: the best k+1 are enough, one of them may be the asker itself.
-    listed = F.slice(F.array_sort(F.collect_list(F.struct((-cosine).alias("d"), F.col("ids").alias("ids")))), 1, keep + 1)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("e.d").alias("d"), F.col("ids").alias("ids"))))
     flat = F.flatten(F.transform("near", lambda e: F.transform(e["ids"], lambda i: F.struct(e["d"].alias("d"), i.alias("id")))))
-    best = found.join(ids, "m").groupBy("q").agg(listed.alias("near")).select("q", F.slice(F.array_sort(flat), 1, keep).alias("near"))
+    best = kept.join(ids, kept["e.m"] == ids["m"]).groupBy("q").agg(listed.alias("near")).select("q", F.slice(F.array_sort(flat), 1, keep).alias("near"))
     everyone = units if queries is None else wanted
     own = everyone.select("id", F.xxhash64("unit").alias("q")).join(best, "q")
     others = F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, k)
@@ -225,14 +250,6 @@ def nearest_vectors(
     return rows.select(F.col("id").alias(id_col), F.col("e.id").alias("near_id"), (F.col("at") + 1).alias("rank"), (-F.col("e.d")).alias("cosine"))
 
 
-def _block_of(blocks: dict[int, int]):
-    """The block of a row in its cell: by hash, over as many blocks as the cell has."""
-    many = [F.lit(x) for cell, n in sorted(blocks.items()) if n > 1 for x in (cell, n)]
-    if not many:
-        return F.lit(0)
-    return F.pmod(F.xxhash64("unit", F.lit(1)), F.coalesce(F.create_map(*many)[F.col("cell")], F.lit(1))).cast("int")
-
-
 def neighbour_pairs(near: DataFrame, id_col: str = "id") -> DataFrame:
     """Distinct pairs id_a < id_b of `nearest_vectors` rows."""
     return near.select(F.least(id_col, "near_id").alias("id_a"), F.greatest(id_col, "near_id").alias("id_b")).distinct()
