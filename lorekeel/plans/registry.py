@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import corpus, graphs, logs, pages, relational, retrieval, streaming, urls  # noqa: F401
+    from . import corpus, graphs, live, logs, pages, relational, retrieval, streaming, urls  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
