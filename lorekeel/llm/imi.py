@@ -80,12 +80,18 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_codebooks(units: DataFrame, dims: int, k: int, sample_rows: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of either half, fitted on at most `sample_rows` vectors (those of the least id hashes)."""
-    sample = units.orderBy(F.xxhash64("unit")).limit(sample_rows).select("unit").toPandas()["unit"]
-    if not len(sample):
+def some_units(entries: DataFrame, total: int, rows: int) -> pa.Table:
+    """At most `rows` of `total` vectors (column unit), chosen by their hashes; each partition sends its share only."""
+    share = min(1.0, 1.1 * rows / max(1, total))
+    chosen = entries.select("unit").filter(F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    return chosen.limit(rows).toArrow()
+
+
+def fit_codebooks(sample: pa.Table, dims: int, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of either half, fitted on a sample of vectors (column unit)."""
+    if not sample.num_rows:
         return np.zeros((1, dims // 2), np.float32), np.zeros((1, dims - dims // 2), np.float32)
-    x = np.stack([np.frombuffer(u, np.float32) for u in sample])
+    x = np.frombuffer(b"".join(sample["unit"].to_pylist()), np.float32).reshape(-1, dims)
     half = dims // 2
     return _kmeans(x[:, :half], k, rounds, seed), _kmeans(x[:, half:], k, rounds, seed + 1)
 
@@ -159,8 +165,8 @@ def nearest_vectors(
     least = F.slice(F.array_sort(F.collect_set("id")), 1, keep)
     parts = units.groupBy("unit", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("part")).agg(least.alias("ids"))
     entries = cut(parts.groupBy("unit").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")))
-    centres = centroids_for(entries.count(), cell_rows, max_centroids)
-    first, second = fit_codebooks(entries, dims, centres, sample_rows)
+    total = entries.count()
+    first, second = fit_codebooks(some_units(entries, total, sample_rows), dims, centroids_for(total, cell_rows, max_centroids))
     half, width = dims // 2, len(second)
 
     def place(batches):
@@ -184,14 +190,14 @@ def nearest_vectors(
         return _distances(x[:, :half], first), _distances(x[:, half:], second)
 
     # How many queries come to each cell is counted on a sample; it only decides into how many parts they are cut.
-    sample = entries.orderBy(F.xxhash64("unit")).select("unit").limit(LAYOUT_ROWS).toArrow()
+    sample = some_units(entries, total, LAYOUT_ROWS)
     visits: dict[int, int] = {}
     for part in sample.to_batches():
         near1, near2 = near_halves(part)
         for n in range(part.num_rows):
             for c in walk_cells(near1[n], near2[n], counts, width, min_candidates):
                 visits[c] = visits.get(c, 0) + 1
-    scale = sum(counts.values()) / max(1, sample.num_rows)
+    scale = total / max(1, sample.num_rows)
     parts = {cell: max(1, -(-round(visits.get(cell, 0) * scale) // BLOCK_ROWS)) for cell in counts}
 
     def member(batches):
