@@ -59,7 +59,7 @@ def graph_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return _seeds(spark, folder).select("url", F.round("relevance", 6).alias("relevance"))
 
 
-@query(f"WITH {_SEEDS}, b AS (SELECT max(relevance) AS best FROM seeds) SELECT url, round(relevance, 6) AS relevance FROM seeds, b WHERE best >= 0.55 AND relevance >= 0.55")
+@query(f"WITH {_SEEDS}, b AS (SELECT max(relevance) AS best FROM seeds), r AS (SELECT url, relevance, row_number() OVER (ORDER BY round(relevance, 9) DESC, url) AS p FROM seeds) SELECT url, round(relevance, 6) AS relevance FROM r, b WHERE (best >= 0.55 AND relevance >= 0.55) OR (best < 0.55 AND relevance >= 0.25 AND p <= 5)")
 def seed_floor(spark: SparkSession, folder: str) -> DataFrame:
     return live.two_tier_floor(_seeds(spark, folder)).select("url", F.round("relevance", 6).alias("relevance"))
 
