@@ -135,7 +135,7 @@ def nearest_vectors(
     vector_col: str = "embedding",
     dims: int = 64,
     k: int = 5,
-    min_candidates: int = 6000,
+    min_candidates: int = 9000,
     cell_rows: int = 512,
     max_centroids: int = 1024,
     sample_rows: int = 16384,
