@@ -4,7 +4,8 @@ Problem 4. Labelled exemplars of residue are kept in an inverted index by their
 rarest words. Passage windows of a record that hold such a word are scored by
 TF-IDF containment: how much of the exemplar's weight the window holds, and how
 much of the window the exemplar accounts for. Inverse document frequencies are
-counted over the whole table.
+counted over the whole table. Filler is known by Latin words that no living
+language uses, however frequent they are in the table.
 """
 
 from __future__ import annotations
@@ -118,6 +119,10 @@ EXEMPLARS: dict[str, list[str]] = {
         "Ornare arcu dui vivamus arcu felis bibendum ut tristique et egestas quis.",
     ],
 }
+#: Words of the filler exemplars that are also words of a living language (en, de, fr, es, it, pt, nl).
+LIVING = frozenset(
+    "ac ad ante culpa do dolor dolore dui ea eros esse est et eu ex habitant id in integer labore lacinia leo magna massa morbi non nulla odio officia ornare primis qui quis sed sint sit ut vel vestibulum vitae".split()
+)
 #: The forms of an unfilled field, each with an exemplar of its kind.
 FIELDS = re.compile(
     r"\{\{\{?\s*[\w.\-| ]{1,60}\s*\}?\}\}"  # {{ page.title }}
@@ -158,7 +163,7 @@ def unquoted(line: str, outside: int) -> str:
 class Index:
     """Exemplars with their weights, found by their rarest words."""
 
-    def __init__(self, exemplars: dict[str, list[str]], frequency: dict[str, int], rows: int, anchors: int, rare: float):
+    def __init__(self, exemplars: dict[str, list[str]], frequency: dict[str, int], rows: int, anchors: int):
         self.idf = {word: math.log((rows + 1) / (frequency.get(word, 0) + 1)) + 0.1 for word in vocabulary(exemplars)}
         ranked = sorted(self.idf.values())
         self.other = ranked[len(ranked) // 2] if ranked else 1.0
@@ -166,7 +171,7 @@ class Index:
         self.by_word: dict[str, list[int]] = {}
         self.whole: dict[tuple[str, ...], str] = {}
         self.filler = {word for text in exemplars.get("filler", ()) for word in words_of(text)}
-        self.rare_filler = {word for word in self.filler if frequency.get(word, 0) <= rare * rows}
+        self.latin = self.filler - LIVING
         for kind, texts in exemplars.items():
             for text in texts if kind != "filler" else ():
                 sentences = [words for part in _SENTENCE.split(text) if (words := words_of(part))]
@@ -189,7 +194,7 @@ class Index:
         tried: set[int] = set()
         fillers = 0
         for at, word in enumerate(words):
-            if word in self.rare_filler:
+            if word in self.latin:
                 fillers += 1
             for e in self.by_word.get(word, ()):
                 if (e, at) in tried:
@@ -205,7 +210,7 @@ class Index:
                     if sum(self.idf[w] for w in span if w in own) >= coverage * mass:
                         return kind
                 tried.update((e, i) for i, w in enumerate(words[at : at + length], at) if w in own)
-        if fillers >= 3:
+        if fillers >= 2:
             size = min(filler_window, len(words))
             inside = [w in self.filler for w in words]
             count = sum(inside[:size])
@@ -272,7 +277,6 @@ def residue(
     containment: float = 0.75,
     coverage: float = 0.6,
     anchors: int = 3,
-    rare: float = 0.01,
     filler_window: int = 8,
 ) -> DataFrame:
     """Rows (id, column, kind) of records that carry residue in one of `text_cols`, the first such column of each.
@@ -294,7 +298,7 @@ def residue(
     names = list(text_cols)
 
     def run(batches):
-        index = Index(*known.value, anchors, rare)
+        index = Index(*known.value, anchors)
         for batch in batches:
             columns: list[str | None] = [None] * batch.num_rows
             kinds: list[str | None] = [None] * batch.num_rows

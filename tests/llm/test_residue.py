@@ -54,6 +54,17 @@ def test_empty_table_and_long_text(spark):
     assert [r["id"] for r in found] == ["a"]
 
 
+def test_filler_is_found_however_frequent_it_is(spark):
+    for third in (1, 40):
+        data = [(f"filler{n}", f"{PROSE}\n{BAD['filler'][n % 2]}", None, T0) for n in range(third)] + [(f"prose{n}", PROSE, "", T0) for n in range(2 * third)]
+        assert {r["id"] for r in residue.residue(df(spark, data)).collect()} == {f"filler{n}" for n in range(third)}
+
+
+def test_words_of_living_languages_are_no_filler(spark):
+    data = [("a", "Integer massa, non est odio; et qui dolor in culpa ex sed do eu.", None, T0), ("b", PROSE, None, T0)]
+    assert residue.residue(df(spark, data)).count() == 0
+
+
 def test_exclusion(spark):
     data = df(spark, [("a", "undefined", None, T0), ("b", PROSE, None, T0)])
     assert [r["id"] for r in residue.without_residue(data, residue.residue(data)).collect()] == ["b"]
