@@ -17,6 +17,8 @@ from .lines import DATE, key_of, line_words, node_sites
 
 #: Lines with a date and at most so many words may be bylines, in which names are filled in.
 BYLINE_WORDS = 14
+#: Words of a filled-in name at most.
+NAME_WORDS = 4
 
 
 def document_lines(df: DataFrame, id_col: str, node_col: str, text_col: str, order_col: str, date_col: str) -> DataFrame:
@@ -52,13 +54,38 @@ def document_lines(df: DataFrame, id_col: str, node_col: str, text_col: str, ord
     return lined.groupBy("id").agg(last).select("id", "last.*")
 
 
+def byline_frames(dated: DataFrame) -> DataFrame:
+    """One row (s, words, frame) for each distinct line of a site in (s, words), words joined by spaces.
+
+    A frame is the line with up to NAME_WORDS words in a row taken out, where
+    the site fills other words into the same place. Of a line's frames the one
+    of most fillings counts, and of those the one with most words left; a frame
+    of marks alone only if it has more than twice the fillings of each other.
+    Where one word is taken out, or no word is left, two fillings may be two
+    wordings of a notice, so three are asked for. A line without such a frame is its own. Other sites
+    have no influence.
+    """
+    lines = dated.select("s", "words").distinct()
+    spans = """
+        filter(flatten(transform(sequence(1, size(ws)), i -> transform(sequence(1, least({most}, size(ws) - i + 1)), l -> struct(
+            l AS taken, slice(ws, i, l) AS span, concat(slice(ws, 1, i - 1), slice(ws, i + l, size(ws))) AS rest,
+            concat_ws(' ', slice(ws, 1, i - 1), array('%name'), slice(ws, i + l, size(ws))) AS frame)))), x -> not exists(x.span, w -> startswith(w, '%')))"""
+    each = lines.withColumn("ws", F.split("words", " ")).select("s", "words", F.explode(F.expr(spans.format(most=NAME_WORDS))).alias("x"))
+    each = each.select("s", "words", "x.taken", "x.frame", F.expr("exists(x.rest, w -> not startswith(w, '%'))").alias("fixed"))
+    # A frame and its filling make up the line, so that lines are fillings.
+    fillings = each.groupBy("s", "frame").agg(F.count("*").alias("n"), F.max(F.when(F.col("fixed"), F.col("taken"))).alias("longest"))
+    fillings = fillings.filter((F.col("n") >= 3) | (F.col("n") == 2) & (F.col("longest") > 1)).drop("longest")
+    order = F.struct(F.when(F.col("fixed"), 2 * F.col("n")).otherwise(F.col("n")), F.col("n"), -F.col("taken"), F.col("frame"))
+    best = each.join(fillings, ["s", "frame"]).groupBy("s", "words").agg(F.max_by("frame", order).alias("frame"))
+    return lines.join(best, ["s", "words"], "left").select("s", "words", F.coalesce("frame", "words").alias("frame"))
+
+
 def repeated_lines(
     df: DataFrame,
     nodes: DataFrame,
     min_pages: int = 8,
     min_texts: int = 1,
     min_dates: int = 1,
-    byline_sites: int = 3,
     id_col: str = "id",
     node_col: str = "url_node_id",
     text_col: str = "content_text",
@@ -69,9 +96,8 @@ def repeated_lines(
 
     Lines are split at line feeds and numbered from 0, blank ones too. They are
     the same up to letter case, accents, spacing, punctuation and the dates,
-    numbers and addresses in them; in short lines with a date, words that
-    occur in such lines of fewer than `byline_sites` sites count as filled-in
-    names. `min_texts` and `min_dates` demand as many distinct texts and
+    numbers and addresses in them, and in short lines with a date up to the
+    names filled in, which `byline_frames` tells inside each site. `min_texts` and `min_dates` demand as many distinct texts and
     publication dates: with 2 or more, an article republished word for word
     is not taken for boilerplate.
 
@@ -84,16 +110,8 @@ def repeated_lines(
     docs = docs.join(node_sites(nodes), "node").filter("site is not null").withColumn("s", F.xxhash64("site"))
     lines = docs.select("s", "id", "node", "cluster", "date", F.posexplode("keys").alias("line_no", "key"), F.transform("dated", lambda d: d["line"]).alias("named"))
     plain = lines.filter("key <> 0 and not array_contains(named, line_no)").drop("named")
-    words = docs.select("s", "id", "node", "cluster", "date", F.explode("dated").alias("d")).select("s", "id", "node", "cluster", "date", F.col("d.line").alias("line_no"), F.posexplode("d.words").alias("at", "word"))
-    common = words.select("word", "s").distinct().groupBy("word").agg(F.count("*").alias("sites")).filter(F.col("sites") >= byline_sites).select("word", F.lit(True).alias("common"))
-    masked = F.struct("at", F.when(F.col("common"), F.col("word")).otherwise(F.lit("%name")).alias("word"))
-    named = (
-        words.join(common, "word", "left")
-        .groupBy("s", "id", "node", "cluster", "date", "line_no")
-        .agg(F.array_sort(F.collect_list(masked)).alias("ws"))
-        .withColumn("key", F.xxhash64(F.concat_ws(" ", F.transform("ws", lambda w: w["word"]))))
-        .drop("ws")
-    )
+    dated = docs.select("s", "id", "node", "cluster", "date", F.explode("dated").alias("d")).select("s", "id", "node", "cluster", "date", F.col("d.line").alias("line_no"), F.concat_ws(" ", "d.words").alias("words"))
+    named = dated.join(byline_frames(dated), ["s", "words"]).withColumn("key", F.xxhash64("frame")).drop("words", "frame")
     rows = cut(plain.select("s", "id", "node", "cluster", "date", "line_no", "key").unionByName(named))
     pages = rows.groupBy("s", "key", "node").agg(F.max("cluster").alias("cluster"), F.min("date").alias("date"))
     counts = [F.count("*").alias("pages")]

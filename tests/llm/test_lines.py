@@ -64,6 +64,25 @@ def test_lines_count_on_distinct_pages_of_one_site(spark):
     assert site_lines(spark, [d for d in data if d[0] != "p7"], known) == set()
 
 
+def test_bylines_unify_whatever_other_sites_hold(spark):
+    names = ["Ann Lee", "Bob Ray", "Ann Maria Poe"]
+    known = [(f"n{i}", "s.example", "u") for i in range(9)] + [(f"m{i}", f"other{i}.example", "u") for i in range(5)]
+    data = [(f"p{i}", f"n{i}", f"By {names[i % 3]}, 2024-01-0{i + 1}", None, T0) for i in range(9)]
+    want = {(f"p{i}", 0) for i in range(9)}
+    assert site_lines(spark, data, known) == want
+    # The same names on many other sites change nothing.
+    assert site_lines(spark, data + [(f"q{i}{k}", f"m{i}", f"By {names[k]}, 2024-01-01", None, T0) for i in range(5) for k in range(3)], known) == want
+
+
+def test_notices_with_dates_are_no_names(spark):
+    known = [(f"n{i}", "s.example", "u") for i in range(14)]
+    # Seven pages each: two wordings of a notice, and a notice beside bylines.
+    data = [(f"p{i}", f"n{i}", f"{['Posted', 'Updated'][i % 2]} on 2024-01-0{i % 9 + 1}", None, T0) for i in range(14)]
+    assert site_lines(spark, data, known) == set()
+    data = [(f"p{i}", f"n{i}", "Last checked: 2024-01-01" if i < 7 else f"By {'ABC'[i % 3]}nn {'XYZ'[i % 3]}oe, 2024-01-01", None, T0) for i in range(14)]
+    assert site_lines(spark, data, known) == set()
+
+
 def test_last_delivery_counts(spark):
     known = [(f"n{i}", "s.example", "u") for i in range(8)]
     data = [(f"p{i}", f"n{i}", "menu", None, T0) for i in range(8)] + [("p0", "n0", "other\nmenu", None, T1)]
