@@ -92,7 +92,7 @@ def repeated_lines(
     order_col: str = "created_at",
     date_col: str = "fetched_at",
 ) -> DataFrame:
-    """Rows (id, line_no, site, pages, texts, dates) of every line that its site shows on at least `min_pages` pages.
+    """Rows (id, line_no, pages, texts, dates) of every line that its site shows on at least `min_pages` pages.
 
     Lines are split at line feeds and numbered from 0, blank ones too. They are
     the same up to letter case, accents, spacing, punctuation and the dates,
@@ -114,13 +114,12 @@ def repeated_lines(
     named = dated.join(byline_frames(dated), ["s", "words"]).withColumn("key", F.xxhash64("frame")).drop("words", "frame")
     rows = cut(plain.select("s", "id", "node", "cluster", "date", "line_no", "key").unionByName(named))
     pages = rows.groupBy("s", "key", "node").agg(F.max("cluster").alias("cluster"), F.min("date").alias("date"))
-    counts = [F.count("*").alias("pages")]
+    counts = [F.count("*").alias("pages"), F.countDistinct("cluster").alias("texts"), F.countDistinct("date").alias("dates")]
     often = F.col("pages") >= min_pages
+    # Counts that are neither asked for nor selected are pruned from the plan.
     if min_texts > 1:
-        counts.append(F.countDistinct("cluster").alias("texts"))
         often &= F.col("texts") >= min_texts
     if min_dates > 1:
-        counts.append(F.countDistinct("date").alias("dates"))
         often &= F.col("dates") >= min_dates
     hits = pages.groupBy("s", "key").agg(*counts).filter(often)
     return rows.select("s", "key", "id", "line_no").join(hits, ["s", "key"]).drop("s", "key").withColumnRenamed("id", id_col)

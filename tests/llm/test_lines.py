@@ -97,6 +97,13 @@ def test_republished_articles_can_be_told_from_boilerplate(spark):
     assert site_lines(spark, data, known, min_dates=2) == set()
 
 
+def test_pages_texts_and_dates_are_returned(spark):
+    known = [(f"n{i}", "s.example", "u") for i in range(8)]
+    data = [(f"p{i}", f"n{i}", f"menu\nown {'ab'[i % 2]}", None, [T0, T1][i % 2]) for i in range(8)]
+    got = sitelines.repeated_lines(pages(spark, data), nodes(spark, known)).collect()
+    assert {(r["id"], r["line_no"], r["pages"], r["texts"], r["dates"]) for r in got} == {(f"p{i}", 0, 8, 2, 2) for i in range(8)}
+
+
 def test_removal_keeps_other_lines(spark):
     df = spark.createDataFrame([("a", "x\ny\n\nz", 1), ("b", "q", 2), ("c", None, 3)], "id string, content_text string, _x int")
     gone = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3)], "id string, line_no int")
