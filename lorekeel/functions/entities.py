@@ -19,8 +19,8 @@ PATTERNS: dict[str, str] = {
     "handle": r"@[A-Za-z0-9_]{2,30}",
     "tex": r"\$[^$\n]{1,200}\$",
 }
-#: Entities of one slot kept for one text.
-MOST = 200
+#: Entities of a slot kept for one text, where there is a limit.
+MOST = {"tex": 200}
 
 
 def distinct_ignoring_case(found: Column) -> Column:
@@ -32,7 +32,8 @@ def distinct_ignoring_case(found: Column) -> Column:
 def entity(text: Column, slot: str) -> Column:
     """Entities of one slot; an empty array for null."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERNS[slot]), 0)
-    return F.slice(distinct_ignoring_case(found), 1, MOST)
+    kept = distinct_ignoring_case(found)
+    return F.slice(kept, 1, MOST[slot]) if slot in MOST else kept
 
 
 def entities(text: Column) -> Column:

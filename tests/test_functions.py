@@ -74,6 +74,15 @@ def test_entities(spark, slot, given, want):
     assert one(spark, entities.entity(F.col("u"), slot), u=None) == []
 
 
+def test_only_maths_is_capped(spark):
+    given = {"email": "u{}@c.example", "phone": "+1 555 123-4{:03d}", "url": "https://a.example/{}", "version": "1.2.{}", "price": "$1{:03d}.00", "date": "{}-01-02", "ip": "10.0.{}.1", "handle": "@user{}"}
+    for slot, form in given.items():
+        numbers = range(1000, 1300) if slot == "date" else range(250) if slot == "ip" else range(300)
+        want = [form.format(n) for n in numbers]
+        assert one(spark, entities.entity(F.col("u"), slot), u=" , ".join(want)) == want, slot
+    assert len(one(spark, entities.entity(F.col("u"), "tex"), u=" , ".join(f"$a^{n}$" for n in range(300)))) == 200
+
+
 def test_readability(spark):
     easy, hard = "The cat sat. The dog ran.", "Institutional considerations necessitate comprehensive multidisciplinary investigations."
     rows = spark.createDataFrame([(easy,), (hard,), ("a b",), (None,)], "u string").select(readability.readability("u").alias("r")).collect()

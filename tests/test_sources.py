@@ -27,6 +27,11 @@ def test_page_record():
     assert "## Steps to take" in r["markdown"] and "| A | B |" in r["markdown"] and "<table>" in r["clean_html"] and "<script" not in r["clean_html"]
 
 
+def test_all_images_of_a_page_are_kept():
+    r = pages.extract("<main>" + "".join(f'<img src="/{n}.png">' for n in range(120)) + "</main>", "https://a.example/")
+    assert [i["url"] for i in r["images"]] == [f"/{n}.png" for n in range(120)]
+
+
 @pytest.mark.parametrize("markup", [None, "", "plain", "<p", "<<>>", "</div></p>", "<script>never closed", "<b>" * 3000 + "x", "&#xZZ; &bogus;"])
 def test_broken_pages_give_records(markup):
     r = pages.extract(markup, None)
