@@ -111,8 +111,10 @@ def rake(docs: DataFrame, id_col: str, text_col: str, k: int = 15, least_bytes:
     parts = F.filter(F.split(marked, r"\s+"), lambda w: w != "")
     stopped = F.transform(parts, lambda w: F.when(w.isin(T.STOP_WORDS) | (w == "|"), F.lit("|")).otherwise(w))
     phrases = F.filter(F.transform(F.split(F.array_join(stopped, " "), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    rows = long.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(phrases)).alias("phrase"))
+    # Dealt out once by id; everything after that keeps to this partitioning.
+    rows = long.select(F.col(id_col).alias("id"), F.array_distinct(phrases).alias("phrases")).repartition("id").select("id", F.explode("phrases").alias("phrase"))
     words = rows.select("id", "phrase", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("n"))
-    scores = words.groupBy("id", "word").agg((F.sum("n") / F.count("*")).alias("s"))
-    totals = words.join(scores, ["id", "word"]).groupBy("id", "phrase").agg(F.sum("s").alias("score"))
-    return totals.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "phrase"))).filter(F.col("rank") <= k)
+    per = Window.partitionBy("id", "word")
+    scored = words.withColumn("s", F.sum("n").over(per) / F.count("*").over(per))
+    totals = scored.groupBy("id", "phrase").agg(F.sum("s").alias("score"))
+    return totals.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "phrase"))).filter(F.col("rank") <= k)

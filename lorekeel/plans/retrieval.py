@@ -105,7 +105,7 @@ def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def rake_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.rake(texts(spark, folder, "documents").filter("lang = 'en'"), "doc_id", "text")
+    found = lexical.rake(texts(spark, folder, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
 
 

@@ -233,3 +233,12 @@ def test_stream_batches_are_written_once_each(spark, tmp_path):
         streams.ingest(streams.file_stream(spark, source, schema, files_a_batch=1), lambda b: b.filter("k = 0"), str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["id"] for r in got.collect()) == list(range(0, 30, 2)) and got.select("batch").distinct().count() == 3
+
+
+def test_rake_keywords_of_all_languages(spark, monkeypatch):
+    from lorekeel.plans import retrieval
+
+    long = "Die Bibliothek am Hafen öffnet im Winter später, und der Fahrplan der Fähre hängt dort neben der alten Tür am Eingang."
+    docs = spark.createDataFrame([(n, long, lang) for n, lang in enumerate(["en", "EN", "de", "", None])] + [(9, "short", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(retrieval, "texts", lambda *_: docs)
+    assert {r["doc_id"] for r in retrieval.rake_keywords(spark, "").collect()} == set(range(5))
