@@ -117,7 +117,7 @@ def pagerank_affected(spark: SparkSession, folder: str) -> DataFrame:
     return graph.affected(links, links.agg(F.min("src").alias("node")), 2)
 
 
-#: Part to supplier links make many small components and chains.
+#: Over the edges parent_of and contains only, as in the SQL.
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM link_edges WHERE edge_type IN ('parent_of', 'contains') UNION SELECT DISTINCT target_id, source_id FROM link_edges WHERE edge_type IN ('parent_of', 'contains')),
 w(node, r) AS (SELECT a, a FROM e UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.node) SELECT node, min(r) AS component FROM w GROUP BY node""")
