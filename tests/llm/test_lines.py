@@ -146,8 +146,38 @@ def test_without_markup_differencing_decides_alone(spark):
     known = [(f"n{i}", "s.example", f"https://s.example/a/{i}") for i in range(8)]
     data = [(f"p{i}", f"n{i}", page(i), None, T0) for i in range(8)]
     got = {(r["id"], r["line_no"]) for r in mainbody.boilerplate_lines(pages(spark, data), nodes(spark, known), html_col=None).collect()}
-    # The prompt in the body is shared as well; nothing tells it from the frame. Entries of unknown lists stay.
-    assert got == {(f"p{i}", n) for i in range(8) for n in (0, 3, 5, 8)}
+    # The prompt in the body is shared as well; nothing tells it from the frame. Entries go with the heading above their gap.
+    assert got == {(f"p{i}", n) for i in range(8) for n in (0, 3, 5, 6, 7, 8)}
+
+
+def test_entries_go_under_headings_of_any_tag(spark):
+    known = [(f"n{i}", "s.example", f"https://s.example/a/{i}") for i in range(8)]
+    for heading in ("<b>Most read</b>", "<p>Most read</p>", "<div>Most read</div>"):
+        data = [(f"p{i}", f"n{i}", page(i), markup(i).replace("<aside><h3>Most read</h3>", f"<div class=x>{heading}").replace("</aside>", "</div>"), T0) for i in range(8)]
+        got = {(r["id"], r["line_no"]) for r in mainbody.boilerplate_lines(pages(spark, data), nodes(spark, known)).collect()}
+        assert got == {(f"p{i}", n) for i in range(8) for n in (0, 5, 6, 7, 8)}
+
+
+def test_lists_above_the_title_leave_it(spark):
+    known = [(f"n{i}", "s.example", f"https://s.example/a/{i}") for i in range(8)]
+    text = lambda i: "Most read\n" + "\n".join(f"Entry {'abcdefgh'[i]} {'xy'[k]} with a title of seven words" for k in range(2)) + "\n" + body(i)
+    got = {(r["id"], r["line_no"]) for r in mainbody.boilerplate_lines(pages(spark, [(f"p{i}", f"n{i}", text(i), None, T0) for i in range(8)]), nodes(spark, known)).collect()}
+    assert got == {(f"p{i}", n) for i in range(8) for n in (0, 1, 2, 5)}
+
+
+def test_borders_of_parts_have_no_influence(spark):
+    # A line that only the first and last of nine pages share is met across any border; pages ten apart are not held together.
+    known = [(f"n{i:02}", "s.example", f"https://s.example/{i:02}") for i in range(40)] + [("m", "t.example", None)]
+    data = [(f"p{i:02}", f"n{i:02}", f"Own {i * 'x'}\nPair {'abcdefgh'[i % 8]}{'abcde'[i // 16]}\nFar {'abcdefghijklm'[i % 13]}", None, T0) for i in range(40)] + [("q", "m", "Pair aa", None, T0)]
+    rows = [{tuple(r) for r in mainbody.boilerplate_lines(pages(spark, data), nodes(spark, known), parts=n).collect()} for n in (1, 3, 5)]
+    assert rows[0] == rows[1] == rows[2] == {(f"p{i:02}", 1) for i in range(32)}
+
+
+def test_thin_pages_lose_their_menus(spark):
+    known = [(f"n{i}", "s.example", f"https://s.example/{i}") for i in range(4)]
+    data = [(f"p{i}", f"n{i}", f"Home | News | Sport | Weather\nShort {'abcd'[i]}.\nAll rights reserved by the owner of these pages", None, T0) for i in range(4)]
+    got = {tuple(r) for r in mainbody.boilerplate_lines(pages(spark, data), nodes(spark, known)).collect()}
+    assert got == {(f"p{i}", n) for i in range(4) for n in (0, 2)}
 
 
 def test_versions_of_one_article_are_not_differenced(spark):
@@ -157,8 +187,8 @@ def test_versions_of_one_article_are_not_differenced(spark):
 
 
 def test_zones_of_markup():
-    zones = {key: zone for key, (zone, _) in mainbody.zones(markup(0)).items()}
+    zones = mainbody.zones(markup(0))
     at = lambda text: zones.get(lines.key_of(lines.line_words(text)))
-    assert at("Home | News") == mainbody.FRAME and at("Most read") == mainbody.HEADING and at("All rights reserved") == mainbody.FRAME
+    assert at("Home | News") == mainbody.FRAME and at("Most read") == mainbody.FRAME and at("All rights reserved") == mainbody.FRAME
     assert at("Entry a x with a title of seven words") == mainbody.ENTRY and at(body(0).split("\n")[0]) == mainbody.BODY
     assert mainbody.zones("") == {} and mainbody.zones("<p>unclosed <b>bold") != {}
