@@ -5,6 +5,12 @@ candidate search and folded into a parity bitmap, the odd sketch. The number of
 ones in the XOR of two bitmaps estimates how many samples differ; candidates
 whose estimate comes near the threshold are then held against their whole
 shingle sets.
+
+Records of one text form a class, of which one is compared. Within a band
+bucket each record is held against the bucket's least record first, its pivot;
+only records that are not close to their pivot are held against the rest. Two
+records close to one pivot are similar by the triangle inequality of the
+Jaccard distance, so a bucket of n small edits of one text costs n comparisons.
 """
 
 from __future__ import annotations
@@ -15,9 +21,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..runtime import cut
 
 WORD = re.compile(r"[^\W_]+")
@@ -102,11 +109,77 @@ def _ones(a: str, b: str, words: int) -> Column:
     return total
 
 
-def latest_texts(df: DataFrame, id_col: str, text_col: str, order_col: str | None) -> DataFrame:
-    """One row (id, digest) for each id: of its deliveries the last by `order_col`, then the greatest digest."""
+def _sketched(df: DataFrame, id_col: str, text_col: str, order_col: str | None, sketcher: tuple[int, int, int, int], shingle: int, min_words: int) -> DataFrame:
+    """One row (id, digest, keys, sketch) for each id, of its last delivery; keys is null for texts too short."""
     order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
-    rows = df.select(F.col(id_col).alias("id"), order.alias("at"), F.md5(F.col(text_col)).alias("digest")).filter("id is not null")
-    return rows.groupBy("id").agg(F.max(F.struct("at", "digest")).alias("last")).select("id", F.col("last.digest").alias("digest"))
+    rows = df.select(F.col(id_col).alias("id"), order.alias("at"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).filter("id is not null")
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        made = Sketcher(*sketcher)
+        for batch in batches:
+            keys, sketches = [], []
+            for text in batch.column(3).to_pylist():
+                words = word_hashes(text) if text else ()
+                if len(words) < max(min_words, shingle):
+                    keys.append(None)
+                    sketches.append(None)
+                    continue
+                minima = made.minima(shingle_hashes(words, shingle))
+                keys.append(made.band_keys(minima))
+                sketches.append(made.odd_sketch(minima))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(keys, pa.int64()), _lists(sketches, pa.int64())], names=["id", "at", "digest", "keys", "sketch"])
+
+    signed = rows.mapInArrow(run, f"id {id_type}, at timestamp, digest string, keys array<long>, sketch array<long>")
+    return signed.groupBy("id").agg(F.max_by(F.struct("digest", "keys", "sketch"), F.struct("at", "digest")).alias("last")).select("id", "last.*")
+
+
+def _shingled(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """One row (r, shingles) for each of `chosen` (r, id, digest): the whole set of its text."""
+    texts = df.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    one = texts.join(chosen, ["id", "digest"]).groupBy("id", "digest").agg(F.first("r").alias("r"), F.first("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(word_hashes(text), shingle).view(np.int32) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, pa.int32())], names=["r", "shingles"])
+
+    return one.select("r", "text").mapInArrow(run, "r long, shingles array<int>")
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, order_col: str | None, threshold: float, shingle: int, min_words: int, bands: int, rows: int, samples: int, bits: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records (id, r, digest, copies, rep), compared links (r1, r2, similarity) of representatives, those (m, r, similarity) of pivots and what is close to them)."""
+    signed = cut(_sketched(df, id_col, text_col, order_col, (bands, rows, samples, bits), shingle, min_words))
+    ids = signed.filter("digest is not null").select("id", "digest")
+    classes = ids.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    chosen = cut(signed.filter("keys is not null").join(classes.select("id", "copies"), "id").withColumn("r", F.xxhash64("id")))
+
+    banded = chosen.select("r", F.explode("keys").alias("key"))
+    pivots = banded.groupBy("key").agg(F.min("r").alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "m")
+    members = cut(banded.join(pivots, "key"))
+    active = members.select("r").distinct()
+    sets = cut(_shingled(df, chosen.join(active, "r").select("r", "id", "digest"), id_col, text_col, shingle))
+    sketches = cut(chosen.join(active, "r").select("r", "sketch"))
+    most = math.ceil(expected_ones(threshold - slack, samples, bits))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sketches.toDF("r1", "s1"), "r1").join(sketches.toDF("r2", "s2"), "r2")
+        close = met.filter(_ones("s1", "s2", bits // 64) <= most).select("r1", "r2")
+        both = close.join(sets.toDF("r1", "h1"), "r1").join(sets.toDF("r2", "h2"), "r2")
+        common = F.size(F.array_intersect("h1", "h2"))
+        return both.select("r1", "r2", (common / (F.size("h1") + F.size("h2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+    star = members.filter("r <> m").select(F.col("m").alias("r1"), F.col("r").alias("r2")).distinct()
+    first = cut(compared(star))
+    # Half the distance allowed: any two records so close to one pivot are similar enough.
+    near = first.filter(F.col("similarity") >= (1 + threshold) / 2).toDF("m", "r", "similarity")
+    apart = members.filter("r <> m").join(near.select("m", "r"), ["m", "r"], "left_anti").select("key", F.col("r").alias("x"))
+    others = apart.join(members.filter("r <> m").select("key", F.col("r").alias("y")), "key").filter("x <> y")
+    rest = others.select(F.least("x", "y").alias("r1"), F.greatest("x", "y").alias("r2")).distinct()
+    second = cut(compared(rest))
+    known = ids.join(classes.select("digest", F.col("id").alias("rep"), "copies"), "digest")
+    known = known.join(chosen.select(F.col("id").alias("rep"), "r"), "rep")
+    return known, first.unionByName(second).distinct(), near
 
 
 def near_duplicates(
@@ -122,81 +195,71 @@ def near_duplicates(
     samples: int = 256,
     bits: int = 512,
     slack: float = 0.2,
-    listed_copies: int = 32,
+    shown_copies: int = 8,
 ) -> DataFrame:
     """Pairs (id_a, id_b, similarity), id_a < id_b, of records whose shingle sets have at least this Jaccard similarity.
 
     Null, empty and short texts (fewer than `min_words` or `shingle` words) and
     null ids take no part; an empty table gives no rows; other columns are
     ignored. Of an id delivered several times the last by `order_col` counts.
-    Records of one text form a class; one of them, that of the least id, is
-    compared. Classes of up to `listed_copies` records come out with all their
-    pairs; of a larger one, each member is paired with the representative only,
-    and so are the links of other texts, so that a text held by a third of all
-    rows gives one row a copy and no link between different texts is lost.
+    Records of one text form a class, represented by its least ids. A member
+    comes out with the `shown_copies` least ids of its class (the membership),
+    and a link of two texts with as many of either; so a text held by a third
+    of all rows gives so many rows a copy at every size, and no link between
+    different texts is lost. With 1 there is one representative; `near_duplicate_classes`
+    gives one row a record.
 
     A pair of similarity s shares a band with probability 1-(1-s^rows)^bands.
     `slack` is how far below `threshold` an odd-sketch estimate may lie for the
     exact check; it should be three standard deviations of the estimate or more.
+    The similarity is exact for compared pairs; for two records that are close
+    to one pivot it is the least that their similarities to it allow.
     """
-    ids = cut(latest_texts(df, id_col, text_col, order_col).filter("digest is not null"))
-    id_type = ids.schema["id"].dataType.simpleString()
-    classes = ids.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
-    texts = chosen.join(classes, ["id", "digest"]).groupBy("id", "copies").agg(F.first("text").alias("text"))
+    known, linked, near = _linked(df, id_col, text_col, order_col, threshold, shingle, min_words, bands, rows, samples, bits, slack)
+    left, right = near.toDF("m", "r1", "x"), near.toDF("m", "r2", "y")
+    implied = left.join(right, "m").filter("r1 < r2").select("r1", "r2", (F.col("x") + F.col("y") - 1).alias("similarity"))
+    pairs = linked.unionByName(implied).groupBy("r1", "r2").agg(F.max("similarity").alias("similarity"))
+    # Of each class the least ids; the limit on the rank is applied before the shuffle.
+    few = cut(known.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= shown_copies).select("rep", "r", F.col("id").alias("few")))
+    between = pairs.join(few.select(F.col("r").alias("r1"), F.col("few").alias("x")), "r1").join(few.select(F.col("r").alias("r2"), F.col("few").alias("y")), "r2").select("x", "y", "similarity")
+    several = known.filter("copies > 1").select("rep", "id").join(few.select("rep", "few"), "rep").filter("id <> few")
+    inside = several.select(F.least("id", "few").alias("x"), F.greatest("id", "few").alias("y")).distinct().withColumn("similarity", F.lit(1.0))
+    every = between.unionByName(inside)
+    return every.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"), "similarity")
+
+
+def near_duplicate_classes(
+    df: DataFrame,
+    id_col: str = "id",
+    text_col: str = "content_text",
+    order_col: str | None = "created_at",
+    threshold: float = 0.8,
+    shingle: int = 5,
+    min_words: int = 1,
+    bands: int = 24,
+    rows: int = 5,
+    samples: int = 256,
+    bits: int = 512,
+    slack: float = 0.2,
+) -> DataFrame:
+    """One row (id, class_id) for each record with a text long enough: the least id of those it is linked to, over any number of links.
 
-    def run(batches):
-        sketcher = Sketcher(bands, rows, samples, bits)
-        for batch in batches:
-            keep, sets, keys, sketches = [], [], [], []
-            for at, text in enumerate(batch.column(2).to_pylist()):
-                words = word_hashes(text)
-                if len(words) < max(min_words, shingle):
-                    continue
-                shingles = shingle_hashes(words, shingle)
-                minima = sketcher.minima(shingles)
-                keep.append(at)
-                sets.append(shingles.view(np.int32))
-                keys.append(sketcher.band_keys(minima))
-                sketches.append(sketcher.odd_sketch(minima))
-            if keep:
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), _lists(sets, pa.int32()), _lists(keys, pa.int64()), _lists(sketches, pa.int64())],
-                    names=["id", "copies", "shingles", "keys", "sketch"],
-                )
-
-    signed = texts.mapInArrow(run, f"id {id_type}, copies long, shingles array<int>, keys array<long>, sketch array<long>")
-    signed = cut(signed.withColumn("r", F.xxhash64("id")))
-    banded = signed.select("r", F.explode("keys").alias("key"))
-    pairs = banded.select(F.col("r").alias("r1"), "key").join(banded.select(F.col("r").alias("r2"), "key"), "key").filter("r1 < r2").select("r1", "r2").distinct()
-    sketch = signed.select("r", "sketch")
-    met = pairs.join(sketch.toDF("r1", "s1"), "r1").join(sketch.toDF("r2", "s2"), "r2")
-    most = math.ceil(expected_ones(threshold - slack, samples, bits))
-    close = cut(met.filter(_ones("s1", "s2", bits // 64) <= most).select("r1", "r2"))
-    sets = signed.select("r", "id", "copies", "shingles")
-    both = close.join(sets.toDF("r1", "i1", "n1", "h1"), "r1").join(sets.toDF("r2", "i2", "n2", "h2"), "r2")
-    common = F.size(F.array_intersect("h1", "h2"))
-    similarity = common / (F.size("h1") + F.size("h2") - common)
-    linked = both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("i1", "i2", "n1", "n2", "similarity")
-    return _with_copies(linked, signed.select("id", "copies"), ids, classes, listed_copies, id_col)
+    Classes are the connected components of the pairs of `near_duplicates`,
+    whose docstring says what nulls, repeated ids and short texts give. Pairs
+    that two records' nearness to one pivot implies are not made, since both
+    are linked to the pivot; n small edits of one text cost n rows.
+    """
+    known, linked, _ = _linked(df, id_col, text_col, order_col, threshold, shingle, min_words, bands, rows, samples, bits, slack)
+    parts = components(linked.select(F.col("r1").alias("src"), F.col("r2").alias("dst"))).withColumnRenamed("node", "r")
+    placed = cut(known.join(parts, "r", "left").withColumn("component", F.coalesce("component", "r")))
+    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    return placed.join(least, "component").select(F.col("id").alias(id_col), "class_id")
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+def _lists(arrays: list, kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column of numpy arrays; None is null."""
     ends = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(x) for x in arrays], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind))
-
-
-def _with_copies(linked: DataFrame, signed: DataFrame, ids: DataFrame, classes: DataFrame, listed: int, id_col: str) -> DataFrame:
-    """Pairs of representatives, with the copies of their classes."""
-    several = classes.filter("copies > 1").join(signed.select("id"), "id", "left_semi")
-    members = ids.join(several.select("digest", F.col("id").alias("rep"), "copies"), "digest").select("rep", "id", "copies")
-    small = members.filter(F.col("copies") <= listed).groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("all"))
-    left = linked.join(small.toDF("i1", "a1"), "i1", "left").join(small.toDF("i2", "a2"), "i2", "left")
-    alone = lambda ids, rep: F.coalesce(F.col(ids), F.array(F.col(rep)))
-    across = left.select(F.explode(alone("a1", "i1")).alias("x"), alone("a2", "i2").alias("ys"), "similarity").select("x", F.explode("ys").alias("y"), "similarity")
-    inside = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"), F.lit(1.0).alias("similarity")).filter("x < y")
-    star = members.filter(F.col("copies") > listed).filter("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
-    pairs = across.unionByName(inside).unionByName(star)
-    return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"), "similarity")
+    np.cumsum([0 if x is None else len(x) for x in arrays], out=ends[1:])
+    values = [x for x in arrays if x is not None]
+    empty = pa.array([x is None for x in arrays], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), kind), mask=empty if len(values) < len(arrays) else None)

@@ -70,18 +70,38 @@ def test_deliveries_nulls_and_short_texts(spark):
     assert [(r["id_a"], r["id_b"], r["similarity"]) for r in got] == [("a", "b", 1.0)]
 
 
-def test_copies_small_classes_whole_large_ones_as_stars(spark):
+def test_copies_come_out_with_the_least_of_their_class(spark):
     long = " ".join(f"w{i}" for i in range(80))
     near = long + " x y"
     data = [(f"c{i}", long, T0) for i in range(5)] + [("n", near, T0)]
     every = {(r["id_a"], r["id_b"]) for r in oddsketch.near_duplicates(df(spark, data), threshold=0.5, shingle=3).collect()}
     assert len(every) == 10 + 5
-    star = {(r["id_a"], r["id_b"]) for r in oddsketch.near_duplicates(df(spark, data), threshold=0.5, shingle=3, listed_copies=2).collect()}
+    star = {(r["id_a"], r["id_b"]) for r in oddsketch.near_duplicates(df(spark, data), threshold=0.5, shingle=3, shown_copies=1).collect()}
     assert star == {("c0", f"c{i}") for i in range(1, 5)} | {("c0", "n")}
 
 
+def test_edits_of_one_text_cost_linear_rows(spark):
+    # Twenty thousand texts that differ in one word each: one class, and no more links than texts in each of the few pivots' stars.
+    words = [f"w{i}" for i in range(120)]
+    data = spark.range(20_000).selectExpr("cast(id as string) AS id", "timestamp '2024-01-01' AS created_at", f"replace('{' '.join(words)}', concat(' w', 1 + id % 118, ' '), concat(' e', id, ' ')) AS content_text")
+    known, linked, near = oddsketch._linked(data, "id", "content_text", "created_at", 0.5, 3, 40, 20, 5, 256, 512, 0.2)
+    assert known.count() == 20_000 and linked.count() < 20 * 20_000
+    got = oddsketch.near_duplicate_classes(data, threshold=0.5, shingle=3, min_words=40, bands=20)
+    assert [tuple(r) for r in got.groupBy("class_id").count().collect()] == [("0", 20_000)]
+
+
+def test_classes_are_components_of_the_pairs(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    # A chain: each text shares enough with the next only.
+    texts = {f"t{k}": " ".join(words[k * 20 : k * 20 + 100]) for k in range(6)} | {"u": " ".join(reversed(words)), "v": " ".join(reversed(words))}
+    data = df(spark, [(i, t, T0) for i, t in texts.items()] + [("short", "a b", T0), ("none", None, T0)])
+    got = {r["id"]: r["class_id"] for r in oddsketch.near_duplicate_classes(data, threshold=0.5, shingle=3, min_words=40, bands=90).collect()}
+    assert got == {f"t{k}": "t0" for k in range(6)} | {"u": "u", "v": "u"}
+
+
 def test_empty_table_and_one_very_long_text(spark):
-    assert oddsketch.near_duplicates(df(spark, [])).count() == 0
+    assert oddsketch.near_duplicates(df(spark, [])).count() == 0 and oddsketch.near_duplicate_classes(df(spark, [])).count() == 0
     rng = random.Random(7)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
     got = oddsketch.near_duplicates(df(spark, [("a", long, T0), ("b", long + " z", T0)])).collect()
