@@ -33,7 +33,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    lines = sitelines.repeated_lines(texts(spark, folder, "page_content"), table(spark, folder, "url_nodes"))
+    lines = sitelines.repeated_lines(texts(spark, folder, "page_content"), table(spark, folder, "url_nodes"), min_texts=2, min_dates=2)
     return lines.select("id", "line_no")
 
 

@@ -1,9 +1,9 @@
 """Lines that one site repeats on many pages.
 
-Problem 6. Deliveries and versions of one page are collapsed first; each line
-is then counted over the distinct pages, distinct texts and distinct dates on
-which its site shows it, so that a republished article can be told from
-boilerplate.
+Problem 6. Deliveries and near-duplicate documents are collapsed first; each
+line is then counted over the distinct pages, document clusters and publication
+dates on which its site shows it, so that a republished article, edited or not,
+can be told from boilerplate.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from . import oddsketch
 from .lines import DATE, key_of, line_words, node_sites
 
 #: Lines with a date and at most so many words may be bylines, in which names are filled in.
@@ -22,13 +23,13 @@ NAME_WORDS = 4
 
 
 def document_lines(df: DataFrame, id_col: str, node_col: str, text_col: str, order_col: str, date_col: str) -> DataFrame:
-    """One row (id, node, date, cluster, keys, dated) for each id, of its last delivery.
+    """One row (id, node, date, own, keys, dated) for each id, of its last delivery.
 
     keys holds one key a line, 0 for lines without a word; dated the words of
-    lines that may be bylines; cluster is equal for equal texts.
+    lines that may be bylines; own is equal for equal texts.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(node_col).alias("node"), F.col(text_col).alias("text"), F.col(order_col).cast("timestamp").alias("at"), F.to_date(date_col).alias("date")).filter("id is not null and text is not null")
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, node {rows.schema['node'].dataType.simpleString()}, at timestamp, date date, cluster long, keys array<long>, dated array<struct<line:int,words:array<string>>>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, node {rows.schema['node'].dataType.simpleString()}, at timestamp, date date, own long, keys array<long>, dated array<struct<line:int,words:array<string>>>"
     dated_type = pa.list_(pa.struct([("line", pa.int32()), ("words", pa.list_(pa.string()))]))
 
     def run(batches):
@@ -46,11 +47,11 @@ def document_lines(df: DataFrame, id_col: str, node_col: str, text_col: str, ord
                 clusters.append(key_of([str(k) for k in own]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(clusters, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dated, dated_type)],
-                names=["id", "node", "at", "date", "cluster", "keys", "dated"],
+                names=["id", "node", "at", "date", "own", "keys", "dated"],
             )
 
     lined = rows.mapInArrow(run, schema)
-    last = F.max_by(F.struct("node", "date", "cluster", "keys", "dated"), F.struct("at", "cluster")).alias("last")
+    last = F.max_by(F.struct("node", "date", "own", "keys", "dated"), F.struct("at", "own")).alias("last")
     return lined.groupBy("id").agg(last).select("id", "last.*")
 
 
@@ -97,9 +98,11 @@ def repeated_lines(
     Lines are split at line feeds and numbered from 0, blank ones too. They are
     the same up to letter case, accents, spacing, punctuation and the dates,
     numbers and addresses in them, and in short lines with a date up to the
-    names filled in, which `byline_frames` tells inside each site. `min_texts` and `min_dates` demand as many distinct texts and
-    publication dates: with 2 or more, an article republished word for word
-    is not taken for boilerplate.
+    names filled in, which `byline_frames` tells inside each site. `min_texts` and `min_dates` demand as many document clusters and
+    publication dates: with 2 or more, an article republished with small edits
+    is not taken for boilerplate. Clusters are the classes of
+    `oddsketch.near_duplicate_classes` (five words, a similarity of 0.8); a text
+    too short for these is in one with its equals. All three are counted exactly.
 
     Null texts, null ids and pages without a known site take no part; empty
     texts and tables give no rows; of an id delivered several times the last by
@@ -107,20 +110,17 @@ def repeated_lines(
     third of all rows is counted in partial aggregates.
     """
     docs = cut(document_lines(df, id_col, node_col, text_col, order_col, date_col))
+    classes = oddsketch.near_duplicate_classes(df, id_col, text_col, order_col).select(F.col(id_col).alias("id"), F.xxhash64("class_id").alias("cluster"))
+    docs = docs.join(classes, "id", "left").withColumn("cluster", F.coalesce("cluster", "own"))
     docs = docs.join(node_sites(nodes), "node").filter("site is not null").withColumn("s", F.xxhash64("site"))
     lines = docs.select("s", "id", "node", "cluster", "date", F.posexplode("keys").alias("line_no", "key"), F.transform("dated", lambda d: d["line"]).alias("named"))
     plain = lines.filter("key <> 0 and not array_contains(named, line_no)").drop("named")
     dated = docs.select("s", "id", "node", "cluster", "date", F.explode("dated").alias("d")).select("s", "id", "node", "cluster", "date", F.col("d.line").alias("line_no"), F.concat_ws(" ", "d.words").alias("words"))
     named = dated.join(byline_frames(dated), ["s", "words"]).withColumn("key", F.xxhash64("frame")).drop("words", "frame")
     rows = cut(plain.select("s", "id", "node", "cluster", "date", "line_no", "key").unionByName(named))
-    pages = rows.groupBy("s", "key", "node").agg(F.max("cluster").alias("cluster"), F.min("date").alias("date"))
+    pages = rows.groupBy("s", "key", "node").agg(F.min("cluster").alias("cluster"), F.min("date").alias("date"))
     counts = [F.count("*").alias("pages"), F.countDistinct("cluster").alias("texts"), F.countDistinct("date").alias("dates")]
-    often = F.col("pages") >= min_pages
-    # Counts that are neither asked for nor selected are pruned from the plan.
-    if min_texts > 1:
-        often &= F.col("texts") >= min_texts
-    if min_dates > 1:
-        often &= F.col("dates") >= min_dates
+    often = (F.col("pages") >= min_pages) & (F.col("texts") >= min_texts) & (F.col("dates") >= min_dates)
     hits = pages.groupBy("s", "key").agg(*counts).filter(often)
     return rows.select("s", "key", "id", "line_no").join(hits, ["s", "key"]).drop("s", "key").withColumnRenamed("id", id_col)
 

@@ -97,6 +97,14 @@ def test_republished_articles_can_be_told_from_boilerplate(spark):
     assert site_lines(spark, data, known, min_dates=2) == set()
 
 
+def test_edited_copies_are_one_cluster(spark):
+    known = [(f"n{i}", "s.example", "u") for i in range(10)]
+    article = "\n".join(f"Line {'abcdefghij'[k]} of a long report on {'klmnopqrst'[k]} and what came of it in the end" for k in range(10))
+    data = [(f"p{i}", f"n{i}", article + f"\nnote {'abcdefghij'[i]}", None, [T0, T1][i % 2]) for i in range(10)]
+    assert len(site_lines(spark, data, known)) == 100
+    assert site_lines(spark, data, known, min_texts=2) == set()
+
+
 def test_pages_texts_and_dates_are_returned(spark):
     known = [(f"n{i}", "s.example", "u") for i in range(8)]
     data = [(f"p{i}", f"n{i}", f"menu\nown {'ab'[i % 2]}", None, [T0, T1][i % 2]) for i in range(8)]
