@@ -15,7 +15,7 @@ def brute(vectors, k):
     ids = sorted(vectors)
     x = np.array([vectors[i] for i in ids], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sims = np.round(x @ x.T, 6)
+    sims = np.round(x @ x.T, 6 if len(ids) < 1000 else 9)
     out = {}
     for n, i in enumerate(ids):
         order = sorted((-sims[n, m], ids[m]) for m in range(len(ids)) if m != n)
@@ -66,10 +66,26 @@ def test_a_hot_vector_costs_one_entry_and_serves_all_ids(spark):
     assert len(got) == 401
 
 
-def test_hot_cells_are_cut_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(imi, "BLOCK_ROWS", 16)
-    vectors = some_vectors(120, seed=3)
-    assert found(spark.createDataFrame(rows(vectors.items()), SCHEMA), k=3, cell_rows=500) == brute(vectors, 3)
+def test_hot_cells_are_split_by_residuals(spark, monkeypatch):
+    # A third of all vectors lie closer together than any two centroids; each query still reads few of them.
+    monkeypatch.setattr(imi, "HOT_SHARES", 2)
+    rng = np.random.default_rng(4)
+    spot = rng.normal(size=8)
+    vectors = {f"d{i:04d}": (spot + 0.01 * rng.normal(size=8)).astype(np.float32).tolist() for i in range(1500)} | some_vectors(3000, seed=5)
+    df = spark.createDataFrame(rows(vectors.items()), SCHEMA)
+    units = imi.unit_vectors(df, "id", "embedding", 8)
+    index = imi.build_index(units, units.count(), 8, 16, 8, 4096, 500)
+    assert index.inner and sum(index.rows.values()) == 4500
+    assert max(index.rows.values()) < 450
+    asked = np.array([vectors[f"d{i:04d}"] for i in range(50)], np.float32)
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    assert all(sum(index.rows[leaf] for leaf in leaves) < 150 + 450 for leaves in index.visited(asked, 150))
+    sizes = {}
+    for leaf, n in index.rows.items():
+        sizes[index.group[leaf]] = sizes.get(index.group[leaf], 0) + n
+    assert len(sizes) >= 9 and max(sizes.values()) <= 500
+    want, got = brute(vectors, 5), found(df, k=5, min_candidates=300, cell_rows=16, max_centroids=8, sample_rows=4096, group_rows=500)
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) / (5 * len(want)) >= 0.9
 
 
 def test_queries_limit_askers_only(spark):
@@ -93,8 +109,7 @@ def test_pairs_are_distinct_and_ordered(spark):
 
 def test_walk_orders_cells_by_summed_distance():
     first, second = np.array([0.1, 0.5, 0.9]), np.array([0.2, 0.3])
-    filled = {c: 1 for c in range(6)}
-    order = imi.walk_cells(first, second, filled, 2, 100)
+    order = [cell for cell, _ in imi.walk(first, second, {c: 1 for c in range(6)}, 2)]
     sums = [first[c // 2] + second[c % 2] for c in order]
     assert sums == sorted(sums) and sorted(order) == list(range(6))
-    assert imi.walk_cells(first, second, {5: 3}, 2, 1) == [5]
+    assert list(imi.walk(first, second, {5: 3}, 2)) == [(5, 3)]
