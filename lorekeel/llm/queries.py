@@ -42,7 +42,8 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked_items(texts(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+    found = leakage.leaked_items(texts(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.filter("kind = 'passage'").select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

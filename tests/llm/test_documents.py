@@ -1,6 +1,7 @@
 """Languages, leaks and truncation of documents."""
 
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -101,12 +102,36 @@ def test_no_items_no_documents(spark):
 @given(st.integers(0, 5), st.integers(20, 40), st.integers(0, 40))
 def test_any_long_enough_run_is_found(seed, length, start):
     items = [{"item_id": 1, "suite": "a", "text": " ".join(passage(9, 48)), "answer": None}]
-    matcher = leakage.Matcher(items, 5, 0.4, 10, 6, 4, 0.75)
+    matcher = leakage.Matcher(items)
     start = min(start, 48 - length)
     text = " ".join(passage(200 + seed, 30) + passage(9, 48)[start : start + length] + passage(300 + seed, 30))
     assert [f[0] for f in matcher.found(text)] == [1]
 
 
+def test_short_passages_count_with_their_answers(spark):
+    items = [(1, "s", "en", "Read now: who keeps the lamp?", "the old miller"), (2, "s", "en", "Read now: where is it?", None), (3, "s", "en", None, "x"), (4, "s", "en", "Read now: " + " ".join(passage(4)), "a b")]
+    texts = [(1, "Well. WHO KEEPS the lamp?\n- The old miller!"), (2, "Who keeps the lamp? " + "no " * 50 + "the old miller"), (3, "the old miller. Who keeps the lamp?"), (4, "Where is it?")]
+    got = leaks(spark, texts, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["kind"], texts[0][1][r["start"] : r["end"]]) for r in got] == [(1, 1, "answer", texts[0][1][6:-1])]
+    rows = spark.createDataFrame([(*item, 0) for item in items], "item_id long, suite string, lang string, text string, answer string, id int")
+    assert leakage.unsearchable(rows) == [2, 3]
+
+
+def test_one_item_may_begin_with_another(spark):
+    items = [(1, "s", "en", " ".join(passage(1, 30)), None), (2, "s", "en", " ".join(passage(1, 30) + passage(2, 30)), None)]
+    got = leaks(spark, [(1, " ".join(passage(1, 30)))], items).collect()
+    assert {r["item_id"] for r in got} == {1, 2}
+
+
+def test_repeated_phrases_stay_linear():
+    words = passage(5, 400)
+    matcher = leakage.Matcher([{"item_id": 1, "suite": "a", "text": " ".join(words), "answer": None}])
+    text = " ".join(words[100:112] * 20_000)
+    began = time.perf_counter()
+    assert matcher.found(text) == []
+    assert time.perf_counter() - began < 20
+
+
 def corpus(n, seed=1):
     rng = random.Random(seed)
     sentence = lambda: (" ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(6, 14))) + ".").capitalize()
