@@ -47,6 +47,8 @@ class Rules:
     #: Stretches of fewer words than `short` times `least_words` must fit as closely as `short_density`, since sentences of one pattern share most words.
     short: float = 2.4
     short_density: float = 0.85
+    #: and so many of their windows must be no turns of phrase.
+    own_windows: float = 0.6
     #: Share of the windows of the words that must be held for which edits may leave whole windows.
     needed: float = 0.25
     #: Windows held by more than this share of all passages are turns of phrase and count `common_weight`.
@@ -152,7 +154,7 @@ class Matcher:
             where = [(after[end] - self.rules.window, at) for end, at in places]
             if not self._likely(where, self.needed[item_id], self.held_by[item_id]):
                 continue
-            best = self._align(self.passages[item_id], words, where)
+            best = self._align(self.passages[item_id], words, where, self.held_by[item_id])
             if best:
                 coverage, first, last = best
                 out.append((item_id, coverage, *_offsets(text, first, last), "passage", self.answers.get(item_id) in seen))
@@ -169,7 +171,7 @@ class Matcher:
                         break
         return out
 
-    def _align(self, passage: list[str], words: list[str], places: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+    def _align(self, passage: list[str], words: list[str], places: list[tuple[int, int]], held_by: dict[int, int]) -> tuple[float, int, int] | None:
         rules = self.rules
         rated = []
         covered: dict[int, int] = {}
@@ -183,7 +185,12 @@ class Matcher:
             matched = sum(size for _, _, size in blocks)
             first, last = blocks[0], blocks[-1]
             span = max(last[0] + last[2] - first[0], last[1] + last[2] - first[1])
-            density = rules.density if matched >= rules.short * rules.least_words else max(rules.density, rules.short_density)
+            density = rules.density
+            if matched < rules.short * rules.least_words:
+                density = max(density, rules.short_density)
+                windows = [at for a, _, size in blocks for at in range(a, a + size - rules.window + 1)]
+                if sum(held_by.get(at, 0) <= self.common for at in windows) < rules.own_windows * len(windows):
+                    continue
             if matched >= rules.least_words and matched >= density * span:
                 rated.append((matched, first[0], last[0] + last[2], first[1], last[1] + last[2] - 1))
         # One stretch, or two in the passage's order: of those that end before it in the passage the best.
