@@ -2,11 +2,12 @@
 
 Problem 9. A backward character n-gram model over all lines counts, for the
 characters before each position read from right to left, how often a line ends
-there and how often it goes on. Characters are taken by class, with runs of
-letters and of digits as one, so that a context reaches back over several words
-to the start of its line. A text is cut if its last context is that of a line
-that goes on: by the log-odds of its ends and continuations, against a
-threshold found for each language and column.
+there and how often it goes on. It is made of two parts, whose log-odds add up.
+The characters themselves, for each language, tell whether a word ends after
+these letters or goes on. Their classes, with runs of letters and of digits as one, reach back over several
+words to the start of the line and tell its form: a sentence, an entry, a
+signature, a link. A text is cut if its last context is that of a line that
+goes on, against a threshold found for each language and column.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .langid import named_language
 
-#: Context lengths in characters, longest first.
+#: Context lengths in classes of characters, longest first.
 ORDERS = (10, 6, 3)
+#: Context lengths in characters, longest first.
+LETTERS = (7, 4)
+#: Texts whose contexts are counted together before they are shuffled.
+COUNTED_TEXTS = 2000
 #: Contexts seen less often say nothing; the shorter one decides.
 SUPPORT = 2
 #: Weight of the shorter context's share of ends, in occurrences.
@@ -39,7 +44,6 @@ _MARK = re.compile(
     re.I,
 )
 _REMNANT = re.compile(r"\s*(?:�+|&#?\w{0,7}|</?[a-z]\w{0,9}(?:\s[^<>]{0,80})?|\\u[0-9a-f]{0,3}|%[0-9A-F]?)$", re.I)
-_STOPPED = re.compile(r"[.!?][\"'»”)\]]*$")
 
 
 def _class_table() -> np.ndarray:
@@ -94,10 +98,46 @@ def contexts(joined: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.
     return ends, first, out[::-1], ~boundary
 
 
+def letters(joined: str, language: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of texts joined by NUL, with a number for the language of each: for each character whether its word ends there, its contexts by LETTERS, whether it counts (is a letter), and whether it is a NUL.
+
+    A context is a hash of the language and of the characters up to this one,
+    in lower case; it stops at the start of the word.
+    """
+    code = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code)
+    at = np.arange(n)
+    kinds = _class_table()[code]
+    letter = (kinds == 1) | (kinds == 2)
+    ends = np.ones(n, bool)
+    ends[:-1] = ~letter[1:]
+    since = at - np.maximum.accumulate(np.where(letter, -1, at))
+    value = code.astype(np.uint64) + np.uint64(1)
+    nul = code == 0
+    state = language[np.minimum(np.cumsum(nul), len(language) - 1)].astype(np.uint64)
+    found = []
+    with np.errstate(over="ignore"):
+        for k in range(max(LETTERS)):
+            moved = np.zeros(n, np.uint64)
+            moved[k:] = value[: n - k]
+            state = (state ^ np.where(k < since, moved, np.uint64(0))) * np.uint64(0xFF51AFD7ED558CCD)
+            state ^= state >> np.uint64(32)
+            if k + 1 in LETTERS:
+                found.append(state.view(np.int64).copy())
+    return ends, found[::-1], letter, nul
+
+
+def _clean(text: str) -> str:
+    """The text without NUL characters and without spaces at the ends of its lines."""
+    return "\n".join(line.rstrip() for line in text.replace("\0", " ").split("\n"))
+
+
 def _shorn(text: str) -> tuple[str, bool]:
     """The text without a mark of omission or broken remnant at its end, and whether it had one."""
     text = text.rstrip()
-    head, tail = text[:-120], text[-120:]
+    # Marks may stand on a line of their own, below the last one.
+    at = text.rfind("\n", 0, max(0, text.rfind("\n"))) + 1
+    head, tail = text[:at], text[at:]
     rest = _MARK.sub("", tail)
     if rest == tail:
         rest = _REMNANT.sub("", tail)
@@ -105,23 +145,36 @@ def _shorn(text: str) -> tuple[str, bool]:
 
 
 def _model(df: DataFrame) -> DataFrame:
-    """Rows (n, context, ends, goes) of all contexts that occur SUPPORT times or more."""
+    """Rows (n, context, ends, goes) of all contexts of (text, label) that occur SUPPORT times or more; n is negative for contexts of characters."""
+
+    def counted(n: int, context: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        keys, inverse = np.unique(context, return_inverse=True)
+        stops = np.bincount(inverse, weights=ends, minlength=len(keys)).astype(np.int64)
+        every = np.bincount(inverse, minlength=len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(stops), pa.array(every - stops)], names=["n", "context", "ends", "goes"])
 
     def run(batches):
         for batch in batches:
-            texts = [t.replace("\0", " ") for t in batch.column(0).to_pylist() if t]
-            for low in range(0, len(texts), 2000):
-                ends, first, found, counts = contexts("\0".join(texts[low : low + 2000]))
+            rows = [(_clean(t), _number(named_language(label))) for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
+            for low in range(0, len(rows), COUNTED_TEXTS):
+                joined = "\0".join(text for text, _ in rows[low : low + COUNTED_TEXTS])
+                language = np.array([number for _, number in rows[low : low + COUNTED_TEXTS]], np.int64)
+                ends, first, found, counts = contexts(joined)
                 # The first line may be a title, which ends without a stop.
                 use = counts & ~(first & ends)
                 for n, context in zip(ORDERS, found, strict=True):
-                    keys, inverse = np.unique(context[use], return_inverse=True)
-                    stops = np.bincount(inverse, weights=ends[use], minlength=len(keys)).astype(np.int64)
-                    every = np.bincount(inverse, minlength=len(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(stops), pa.array(every - stops)], names=["n", "context", "ends", "goes"])
+                    yield counted(n, context[use], ends[use])
+                ends, found, letter, _ = letters(joined, language)
+                for n, context in zip(LETTERS, found, strict=True):
+                    yield counted(-n, context[letter], ends[letter])
+
+    rows = df.select("text", "label").mapInArrow(run, "n int, context long, ends long, goes long")
+    return rows.groupBy("n", "context").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).filter(F.col("ends") + F.col("goes") >= SUPPORT)
 
-    counted = df.select("text").mapInArrow(run, "n int, context long, ends long, goes long")
-    return counted.groupBy("n", "context").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).filter(F.col("ends") + F.col("goes") >= SUPPORT)
+
+def _number(language: str | None) -> int:
+    """A number for a language code; 0 for none."""
+    return int.from_bytes((language or "").encode()[:4], "big")
 
 
 def truncated(
@@ -135,73 +188,85 @@ def truncated(
     """Rows (id, *keep, log_odds, marked, cut) of all rows with a text; `cut` says whether it breaks off.
 
     Null, empty and blank texts are complete and give no row. log_odds is that
-    of an end against a continuation after the text's last context; a mark of
-    omission or a broken remnant is taken off first (`marked`) and makes a cut.
-    Nothing is a cut after the stop of a sentence. The threshold on log_odds is found
-    for each language in this column: the value that parts the log-odds of its
-    texts in two groups of least spread, drawn to that of all languages by
-    `steady` texts. Repeated rows come out repeatedly;
-    columns other than those named are ignored; an empty table gives no rows.
-
-    Counts are taken over all lines of all texts. Only contexts are shuffled;
-    each text looks up len(ORDERS) of them by a join. The driver holds one
-    histogram a language.
+    of an end against a continuation after the text's last context, by the
+    form of its last line and by its last characters; a mark of omission or a
+    broken remnant is taken off first (`marked`) and makes a cut, unless it
+    follows the end of a sentence. The threshold on log_odds is found for each
+    language in this column: the value that parts the log-odds of its texts in
+    two groups of least spread, drawn to that of all languages by `steady`
+    texts. Repeated rows come out repeatedly; columns other than those named
+    are ignored; an empty table gives no rows.
+
+    Counts are taken over all lines of all texts, and whole lines are read.
+    Only contexts are shuffled; each text looks up its own by joins. The
+    driver holds one histogram a language.
     """
     label = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     model = cut(_model(chosen.filter("text is not null")))
     kept = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.select("id", *kept).schema] + ["language string", "marked boolean", "stopped boolean", *[f"c{n} long" for n in ORDERS]])
+    looked_up = [f"c{n}" for n in ORDERS] + [f"l{n}" for n in LETTERS]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.select("id", *kept).schema] + ["language string", "marked boolean", *[f"{c} long" for c in looked_up]])
 
     def run(batches):
         for batch in batches:
-            at, languages, marks, stops = [], [], [], []
-            tails = []
+            at, languages, marks, tails = [], [], [], []
             for n, (text, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if not text or not text.strip():
                     continue
                 rest, marked = _shorn(text)
                 if not rest.strip():
                     continue
-                line = rest.rsplit("\n", 1)[-1][-2000:].replace("\0", " ")
                 at.append(n)
                 languages.append(named_language(label) or "")
                 marks.append(marked)
-                stops.append(bool(_STOPPED.search(line[-8:])))
-                tails.append(line)
+                tails.append(_clean(rest.rsplit("\n", 1)[-1]))
             if not at:
                 continue
-            _, _, found, counts = contexts("\0".join(tails) + "\0")
+            joined = "\0".join(tails) + "\0"
+            _, _, found, counts = contexts(joined)
             # The last symbol of each tail stands before its NUL; tails of spaces and controls alone have none.
             ends = np.flatnonzero(~counts)
             has = np.diff(np.concatenate([[-1], ends])) > 1
             where = np.maximum(ends - 1, 0)
-            rows = pa.array(at, pa.int64())
             lasts = [pa.array(np.where(has, context[where], 0)) for context in found]
+            _, found, letter, nul = letters(joined, np.array([_number(x) for x in languages], np.int64))
+            where = np.maximum(np.flatnonzero(nul) - 1, 0)
+            lasts += [pa.array(context[where], mask=~letter[where]) for context in found]
+            rows = pa.array(at, pa.int64())
             columns = [batch.column(0), *[batch.column(3 + i) for i in range(len(kept))]]
-            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in columns], pa.array(languages), pa.array(marks), pa.array(stops), *lasts], names=["id", *kept, "language", "marked", "stopped", *[f"c{n}" for n in ORDERS]])
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in columns], pa.array(languages), pa.array(marks), *lasts], names=["id", *kept, "language", "marked", *looked_up])
 
     scored = chosen.mapInArrow(run, schema)
-    for n in ORDERS:
-        part = model.filter(F.col("n") == n).select(F.col("context").alias(f"c{n}"), F.col("ends").alias(f"e{n}"), F.col("goes").alias(f"g{n}"))
-        scored = scored.join(part, f"c{n}", "left")
+    for c in looked_up:
+        n = int(c[1:]) * (1 if c[0] == "c" else -1)
+        part = model.filter(F.col("n") == n).select(F.col("context").alias(c), F.col("ends").alias(f"{c}_ends"), F.col("goes").alias(f"{c}_goes"))
+        scored = scored.join(part, c, "left")
     # A text's own end is one of those counted.
     own = F.when(F.col("marked"), 0).otherwise(1)
-    totals = model.filter(F.col("n") == min(ORDERS)).agg(F.sum("ends").alias("e"), F.sum("goes").alias("g")).first()
-    base = ((totals["e"] or 0) + 1) / ((totals["e"] or 0) + (totals["g"] or 0) + 2)
-    # Each order's share of ends is drawn towards that of the next shorter one.
-    chance = F.lit(base)
-    for n in reversed(ORDERS):
-        ends = F.greatest(F.coalesce(F.col(f"e{n}"), F.lit(0)) - own, F.lit(0))
-        chance = (ends + DRAW * chance) / (ends + F.coalesce(F.col(f"g{n}"), F.lit(0)) + DRAW)
-    odds = F.log(chance / (1 - chance)) - math.log(base / (1 - base))
-    rated = cut(scored.select("id", *kept, "language", "marked", "stopped", odds.alias("log_odds")))
+    totals = {row["n"]: row for row in model.filter(F.col("n").isin(min(ORDERS), -min(LETTERS))).groupBy("n").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).collect()}
+
+    def log_odds(n: int, names: list[str]) -> Column:
+        """Those of an end, against its share in all places."""
+        e, g = (totals[n]["ends"], totals[n]["goes"]) if n in totals else (0, 0)
+        base = (e + 1) / (e + g + 2)
+        # Each order's share of ends is drawn towards that of the next shorter one.
+        chance = F.lit(base)
+        for c in reversed(names):
+            ends = F.greatest(F.coalesce(F.col(f"{c}_ends"), F.lit(0)) - own, F.lit(0))
+            chance = (ends + DRAW * chance) / (ends + F.coalesce(F.col(f"{c}_goes"), F.lit(0)) + DRAW)
+        return F.log(chance / (1 - chance)) - math.log(base / (1 - base))
+
+    form = log_odds(min(ORDERS), [f"c{n}" for n in ORDERS])
+    # That a word may end here is no sign of an end of the text; that it goes on is one of a cut.
+    word = F.least(F.lit(0.0), log_odds(-min(LETTERS), [f"l{n}" for n in LETTERS]))
+    odds = form + F.when(F.col(f"l{min(LETTERS)}").isNull(), F.lit(0.0)).otherwise(word)
+    rated = cut(scored.select("id", *kept, "language", "marked", odds.alias("log_odds")))
     binned = rated.filter("not marked").groupBy("language", F.round(F.greatest(F.lit(-20), F.least(F.lit(20), F.col("log_odds"))), 1).alias("b")).agg(F.count("*").alias("n")).collect()
     thresholds = _thresholds([(r["language"], r["b"], r["n"]) for r in binned], steady)
     limit = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(thresholds.items()) for x in pair])[F.col("language")] if thresholds else F.lit(None).cast("double"), F.lit(0.0))
-    is_cut = ~F.col("stopped") & (F.col("marked") | (F.col("log_odds") < limit))
     names = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
-    return rated.select(F.col("id").alias(id_col), *names, "log_odds", "marked", is_cut.alias("cut"))
+    return rated.select(F.col("id").alias(id_col), *names, "log_odds", "marked", (F.col("marked") | (F.col("log_odds") < limit)).alias("cut"))
 
 
 def _thresholds(bins: list[tuple[str, float, int]], steady: float) -> dict[str, float]:
