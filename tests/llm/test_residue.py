@@ -15,6 +15,8 @@ BAD = {
     "script": ["This page needs JavaScript. Switch scripts on in your browser and load Example again.", "Activez JavaScript pour lire Exemple."],
     "filler": ["Lorem ipsum dolor sit amet, minim veniam culpa pulvinar sed magna.", "Tempor adipiscing sint sint adipiscing dolor culpa amet duis."],
 }
+#: Share of the exemplars that the others tell, at least; few words of one message stand in others.
+HELD_OUT = 0.2
 GOOD = [
     PROSE, "", None, 'The handbook explains what "404 – Page not found" means and how often the clerk sees it.', 'Many readers see "please enable JavaScript" and leave; nobody minds.', 'Typesetters put "lorem ipsum" where the text will stand.',
     "In the template language, {{ author.name }} stands for a value that the clerk fills in later.", "Dans le langage des gabarits, #{title} désigne une valeur, et le musée la remplit.", "The reason is unknown.", "A price of $5 {at most} was not found on this page of the book.",
@@ -48,6 +50,33 @@ def test_columns_deliveries_and_nulls(result):
     assert result["excerpt"] == ("excerpt", "placeholder") and "late" not in result and "twice" in result and None not in result
 
 
+def test_exemplars_left_out_are_found_by_the_others():
+    # Each message of three content words or more is taken out of the index and must be told by those that are left.
+    told = tried = 0
+    for language, kinds in residue.EXEMPLARS.items():
+        for kind, texts in kinds.items():
+            for text in texts:
+                if kind == "filler" or len(residue.stems_of(residue.words_of(text))) < 4:
+                    continue
+                rest = {lang: {k: [t for t in ts if t != text] for k, ts in ks.items()} for lang, ks in residue.EXEMPLARS.items()}
+                index = residue.Index(rest, dict.fromkeys(residue.vocabulary(rest), 20), 10_000, residue.Rules())
+                tried += 1
+                told += residue.kind_of(text, index) is not None
+    assert tried >= 60 and told >= HELD_OUT * tried, (told, tried)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "This content is currently unavailable. Please check back soon.", "Turn on JavaScript in your browser settings to use this website.", "Die angeforderte Seite existiert nicht.", "Contenu indisponible pour le moment.", "Sample text. Replace me.",
+        "Oops! We can't find the page you requested.", "Please verify you are a human.", "Bitte aktivieren Sie JavaScript, um die Seite zu nutzen.", "Se ha producido un error. Inténtelo de nuevo más tarde.",
+    ],
+)
+def test_messages_worded_in_other_ways(text):
+    index = residue.Index(residue.EXEMPLARS, dict.fromkeys(residue.vocabulary(residue.EXEMPLARS), 20), 10_000, residue.Rules())
+    assert residue.kind_of(text, index)
+
+
 def test_empty_table_and_long_text(spark):
     assert residue.residue(df(spark, [])).count() == 0
     found = residue.residue(df(spark, [("a", (PROSE + "\n") * 5000 + "Loading, please wait …", None, T0), ("b", "word " * 200_000, None, T0)])).collect()
