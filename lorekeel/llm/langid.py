@@ -12,7 +12,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import fold
@@ -64,7 +64,7 @@ class Classifier:
         self.plain = zstandard.ZstdCompressor(**options)
         self.by_language = []
         for language, texts in sorted(samples.items()):
-            data = zstandard.ZstdCompressionDict(b"\n".join(normal(t) for t in texts)[-MAX_SAMPLE_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data = zstandard.ZstdCompressionDict(b"\n".join(normal(t) for t in texts), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=level)
             self.by_language.append((language, zstandard.ZstdCompressor(dict_data=data, **options)))
 
@@ -82,15 +82,14 @@ class Classifier:
         return language, confidence
 
 
-def samples_of(samples: DataFrame) -> dict[str, list[str]]:
-    """Labelled texts by language; of each language the first by id up to MAX_SAMPLE_BYTES."""
+def samples_of(samples: DataFrame, most_bytes: int = MAX_SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Labelled texts by language; of each language the first by id until they hold `most_bytes`."""
+    rows = samples.filter("lang is not null and text is not null").select("lang", "sample_id", "text", F.octet_length("text").cast("long").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("sample_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = rows.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_bytes)
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    total = samples.filter("lang is not null and text is not null")
-    for row in total.orderBy("sample_id").limit(100_000).collect():
-        if size.get(row["lang"], 0) < MAX_SAMPLE_BYTES:
-            out.setdefault(row["lang"], []).append(row["text"])
-            size[row["lang"]] = size.get(row["lang"], 0) + len(row["text"].encode())
+    for row in chosen.orderBy("lang", "sample_id", "text").collect():
+        out.setdefault(row["lang"], []).append(row["text"])
     return out
 
 
@@ -104,6 +103,7 @@ def languages(
     margin: float = 0.03,
     gain: float = 0.2,
     least_letters: int = 12,
+    sample_bytes: int = MAX_SAMPLE_BYTES,
 ) -> DataFrame:
     """Rows (id, seg_no, lang, confidence, chars, words, label_names, main) for each document and each of its lines in a language.
 
@@ -114,12 +114,13 @@ def languages(
     in a language, nor null and empty texts. `label_names` is the code that the
     document's label names, null if none, and `main` the document's language. Repeated rows come out repeatedly;
     other columns are ignored; an empty table gives no rows. One scan, no
-    shuffle: the samples (bounded by MAX_SAMPLE_BYTES a language) are broadcast.
+    shuffle: the samples (of each language `sample_bytes`, and the rest of the
+    last one) are broadcast.
     """
     label = F.col(label_col) if label_col else F.lit(None)
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("string").alias("label"))
     id_type = chosen.schema["id"].dataType.simpleString()
-    known = df.sparkSession.sparkContext.broadcast(samples_of(samples))
+    known = df.sparkSession.sparkContext.broadcast(samples_of(samples, sample_bytes))
 
     def run(batches):
         classifier = Classifier(known.value, level, margin, gain, least_letters)

@@ -52,6 +52,12 @@ def test_labels(label, code):
     assert langid.named_language(label) == code
 
 
+def test_samples_are_bounded_for_each_language(spark):
+    samples = spark.createDataFrame([(n, lang, "word " * 10) for n in range(40) for lang in ("en", "zz")] + [(99, "la", "verba"), (None, None, "x"), (100, "en", None)], "sample_id long, lang string, text string")
+    got = langid.samples_of(samples, 120)
+    assert {lang: len(texts) for lang, texts in got.items()} == {"en": 3, "zz": 3, "la": 1}
+
+
 def test_no_documents_no_samples(spark):
     assert lang_rows(spark, []).count() == 0
     docs = spark.createDataFrame([(1, EN, "en")], "doc_id long, content_text string, language string")
