@@ -293,7 +293,8 @@ def _thresholds(bins: list[tuple[str, float, int]], steady: float) -> dict[str,
         between = np.where((below > 0) & (above > 0), between, 0)
         best = np.flatnonzero(between >= between.max() - 1e-9 * abs(between.max()))
         # Any value in the gap parts them alike; its middle is taken.
-        out[language] = float(at[best].mean() + 0.05) if between.max() > 0 else 0.0
+        # A context that ends more often than places do at large is none of a cut, even if no text of the language is cut.
+        out[language] = min(0.0, float(at[best].mean() + 0.05)) if between.max() > 0 else 0.0
     return out
 
 
