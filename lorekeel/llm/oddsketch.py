@@ -28,6 +28,8 @@ from ..operators.graph import components
 from ..runtime import cut
 
 WORD = re.compile(r"[^\W_]+")
+#: Keys of records that are broadcast at most, about a hundred bytes each.
+MAX_SENT_ROWS = 200_000
 #: Words kept with their hashes in one worker at most.
 WORD_CACHE = 1 << 20
 _words: dict[str, int] = {}
@@ -109,57 +111,66 @@ def _ones(a: str, b: str, words: int) -> Column:
     return total
 
 
-def _sketched(df: DataFrame, id_col: str, text_col: str, order_col: str | None, sketcher: tuple[int, int, int, int], shingle: int, min_words: int) -> DataFrame:
-    """One row (id, digest, keys, sketch) for each id, of its last delivery; keys is null for texts too short."""
-    order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
-    rows = df.select(F.col(id_col).alias("id"), order.alias("at"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).filter("id is not null")
-    id_type = rows.schema["id"].dataType.simpleString()
+def _texts_of(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row (*chosen, text) for each of `chosen` (id, digest, ...), however often it is delivered."""
+    texts = df.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    more = [c for c in chosen.columns if c not in ("id", "digest")]
+    return texts.join(chosen, ["id", "digest"]).groupBy("id", "digest").agg(*[F.first(c).alias(c) for c in more], F.first("text").alias("text"))
+
+
+def _sketched(texts: DataFrame, sketcher: tuple[int, int, int, int], shingle: int, min_words: int) -> DataFrame:
+    """Rows (id, digest, r, keys, sketch) of `texts` (id, digest, text) that are long enough."""
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, digest string, keys array<long>, sketch array<long>"
 
     def run(batches):
         made = Sketcher(*sketcher)
         for batch in batches:
-            keys, sketches = [], []
-            for text in batch.column(3).to_pylist():
-                words = word_hashes(text) if text else ()
-                if len(words) < max(min_words, shingle):
-                    keys.append(None)
-                    sketches.append(None)
-                    continue
-                minima = made.minima(shingle_hashes(words, shingle))
-                keys.append(made.band_keys(minima))
-                sketches.append(made.odd_sketch(minima))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(keys, pa.int64()), _lists(sketches, pa.int64())], names=["id", "at", "digest", "keys", "sketch"])
-
-    signed = rows.mapInArrow(run, f"id {id_type}, at timestamp, digest string, keys array<long>, sketch array<long>")
-    return signed.groupBy("id").agg(F.max_by(F.struct("digest", "keys", "sketch"), F.struct("at", "digest")).alias("last")).select("id", "last.*")
+            at, keys, sketches = [], [], []
+            for n, text in enumerate(batch.column(2).to_pylist()):
+                words = word_hashes(text)
+                if len(words) >= max(min_words, shingle):
+                    minima = made.minima(shingle_hashes(words, shingle))
+                    at.append(n)
+                    keys.append(made.band_keys(minima))
+                    sketches.append(made.odd_sketch(minima))
+            if at:
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), _lists(keys, pa.int64()), _lists(sketches, pa.int64())], names=["id", "digest", "keys", "sketch"])
+
+    return texts.select("id", "digest", "text").mapInArrow(run, schema).withColumn("r", F.xxhash64("id"))
 
 
 def _shingled(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """One row (r, shingles) for each of `chosen` (r, id, digest): the whole set of its text."""
-    texts = df.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    one = texts.join(chosen, ["id", "digest"]).groupBy("id", "digest").agg(F.first("r").alias("r"), F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(word_hashes(text), shingle).view(np.int32) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, pa.int32())], names=["r", "shingles"])
 
-    return one.select("r", "text").mapInArrow(run, "r long, shingles array<int>")
+    return _texts_of(df, chosen, id_col, text_col).select("r", "text").mapInArrow(run, "r long, shingles array<int>")
 
 
 def _linked(df: DataFrame, id_col: str, text_col: str, order_col: str | None, threshold: float, shingle: int, min_words: int, bands: int, rows: int, samples: int, bits: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records (id, r, digest, copies, rep), compared links (r1, r2, similarity) of representatives, those (m, r, similarity) of pivots and what is close to them)."""
-    signed = cut(_sketched(df, id_col, text_col, order_col, (bands, rows, samples, bits), shingle, min_words))
-    ids = signed.filter("digest is not null").select("id", "digest")
+    order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
+    deliveries = df.select(F.col(id_col).alias("id"), order.alias("at"), F.md5(F.col(text_col)).alias("digest")).filter("id is not null")
+    last = deliveries.groupBy("id").agg(F.max(F.struct("at", "digest")).alias("last")).select("id", F.col("last.digest").alias("digest"))
+    ids = cut(last.filter("digest is not null"))
     classes = ids.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    chosen = cut(signed.filter("keys is not null").join(classes.select("id", "copies"), "id").withColumn("r", F.xxhash64("id")))
+    texts = _texts_of(df, classes.select("id", "digest"), id_col, text_col)
+    chosen = cut(_sketched(texts, (bands, rows, samples, bits), shingle, min_words))
 
     banded = chosen.select("r", F.explode("keys").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("r").alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "m")
     members = cut(banded.join(pivots, "key"))
-    active = members.select("r").distinct()
-    sets = cut(_shingled(df, chosen.join(active, "r").select("r", "id", "digest"), id_col, text_col, shingle))
-    sketches = cut(chosen.join(active, "r").select("r", "sketch"))
+    active = cut(members.select("r").distinct())
+    # Few records meet another; where they are so few they are sent to the texts, else both are shuffled.
+    few = active.count() <= MAX_SENT_ROWS
+    sent = F.broadcast if few else lambda side: side
+    sketches = cut(chosen.join(sent(active), "r").select("r", "id", "digest", "sketch"))
+    sets = cut(_shingled(df, sent(sketches.select("r", "id", "digest")), id_col, text_col, shingle))
+    sketches = sketches.select("r", "sketch")
     most = math.ceil(expected_ones(threshold - slack, samples, bits))
 
     def compared(pairs: DataFrame) -> DataFrame:
