@@ -84,14 +84,14 @@ def affected(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
     return bfs(edges, changed, depth, "out").select("node")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component): the least node of each connected component, by alternating large and small stars.
 
     Each round halves distances at least, so long chains take few rounds.
     """
     links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links = cut(links)
-    for _ in range(most_rounds):
+    while True:
         sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -107,7 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return ends.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component): the greatest node of each strongly connected component.
 
     In each round the greatest node spreads forward as colour; what reaches its
@@ -116,9 +116,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     left = cut(edges.select("src", "dst").distinct())
     ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
     nodes, done = cut(ends), None
-    for _ in range(most_rounds):
-        if nodes.isEmpty():
-            break
+    while not nodes.isEmpty():
         colour = nodes.withColumn("colour", F.col("node"))
         while True:
             sent = left.join(colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")

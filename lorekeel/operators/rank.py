@@ -14,18 +14,23 @@ EXAMPLE_BONUS, DIVERSITY = 0.05, 0.85
 SEMANTIC_GATE, QUALITY_GATE, FUNNEL_SIZE = 0.60, 0.45, 128
 
 #: Domains of sources by kind, with the prior of each kind; the first kind that fits counts.
-INSTITUTIONS = """
-wikipedia.org wikimedia.org archive.org gutenberg.org jstor.org arxiv.org semanticscholar.org ieee.org acm.org cern.ch nih.gov ncbi.nlm.nih.gov
-nature.com science.org cell.com thelancet.com nejm.org plos.org biorxiv.org medrxiv.org cochranelibrary.com mayoclinic.org who.int cdc.gov
-springer.com wiley.com oup.com cambridge.org sciencedirect.com pnas.org iop.org acs.org federalreserve.gov stlouisfed.org ecb.europa.eu
-bankofengland.co.uk bis.org imf.org worldbank.org oecd.org w3.org ietf.org iso.org nist.gov
-""".split()
-PRESS = """
-reuters.com apnews.com afp.com upi.com propublica.org icij.org bellingcat.com theintercept.com bbc.com bbc.co.uk bloomberg.com wsj.com ft.com
-economist.com theguardian.com nytimes.com washingtonpost.com theatlantic.com newyorker.com foreignaffairs.com snopes.com factcheck.org
-politifact.com consumerreports.org
-""".split()
-CRAFT = "seriouseats.com kingarthurbaking.com americastestkitchen.com".split()
+INSTITUTIONS = [
+    "wikipedia.org", "wikimedia.org", "archive.org", "gutenberg.org", "jstor.org", "arxiv.org",
+    "semanticscholar.org", "ieee.org", "acm.org", "cern.ch", "nih.gov", "ncbi.nlm.nih.gov",
+    "nature.com", "science.org", "cell.com", "thelancet.com", "nejm.org", "plos.org",
+    "biorxiv.org", "medrxiv.org", "cochranelibrary.com", "mayoclinic.org", "who.int", "cdc.gov",
+    "springer.com", "wiley.com", "oup.com", "cambridge.org", "sciencedirect.com", "pnas.org",
+    "iop.org", "acs.org", "federalreserve.gov", "stlouisfed.org", "ecb.europa.eu", "bankofengland.co.uk",
+    "bis.org", "imf.org", "worldbank.org", "oecd.org", "w3.org", "ietf.org",
+    "iso.org", "nist.gov",
+]
+PRESS = [
+    "reuters.com", "apnews.com", "afp.com", "upi.com", "propublica.org", "icij.org",
+    "bellingcat.com", "theintercept.com", "bbc.com", "bbc.co.uk", "bloomberg.com", "wsj.com",
+    "ft.com", "economist.com", "theguardian.com", "nytimes.com", "washingtonpost.com", "theatlantic.com",
+    "newyorker.com", "foreignaffairs.com", "snopes.com", "factcheck.org", "politifact.com", "consumerreports.org",
+]
+CRAFT = ["seriouseats.com", "kingarthurbaking.com", "americastestkitchen.com"]
 GOVERNMENT = [".gov", ".gov.uk", ".mil", ".gov.au", ".int", ".europa.eu"]
 EDUCATION = [".edu", ".ac.uk", ".edu.au"]
 #: Precision of each source tier.

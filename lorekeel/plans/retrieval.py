@@ -70,10 +70,10 @@ def bm25f_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS ts FROM documents),
 t AS (SELECT doc_id, unnest(ts) AS term FROM d), df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term)
-SELECT term, df, cf, round(ln(((SELECT count(*) FROM d) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df WHERE df >= 5""")
+SELECT term, df, cf, round(ln(((SELECT count(*) FROM d) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df""")
 def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
     docs = texts(spark, folder, "documents")
-    counted = lexical.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
+    counted = lexical.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     out = counted.crossJoin(F.broadcast(lexical.corpus_statistics(docs, "text")))
     return out.select("term", "df", "cf", F.round(lexical.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 

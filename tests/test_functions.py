@@ -35,8 +35,8 @@ def test_suffixes(spark):
     (text.word_count, " a  b\nc ", 3), (text.word_count, None, 0), (text.tokens, "Déjà vu, 2x!", ["déjà", "vu", "2x"]), (text.keywords, "What is the BEST async runtime in 2024, async Rust?", ["async", "runtime", "rust"]), (text.keywords, "", []),
     (text.quoted_terms, 'a "Exact Phrase" “two”', ["exact phrase", "two"]), (text.match_expression, "foo: bar-baz (qux)", '"foo" "bar-baz" "qux"'), (text.without_scripts, "a<script>var x='</p>'</script> <!-- c --> b", "a b"), (text.visible_text, "<p>A &amp; B</p><style>p{}</style>", "A & B"),
     (text.html_escaped, "<a & 'b'>", "&lt;a &amp; &#39;b&#39;&gt;"), (text.without_snippet_date, "Jan 15, 2025 - New things", "New things"), (text.without_snippet_date, "3 days ago · More", "More"), (text.byte_size, "10GB", 10 * 1024**3), (text.byte_size, "1.5 k", 1536), (text.byte_size, "x", None),
-    (text.split_commas, "a, b,,c ", ["a", "b", "c"]), (text.boilerplate_cut, "Body text. Related articles: more", "Body text."), (text.boilerplate_cut, "Related articles first", "Related articles first"), (text.excerpt, "Short one. This sentence has at least eight words in it. End.", "This sentence has at least eight words in it."),
-    (text.is_unsafe_text, "An online CASINO guide", True), (text.is_unsafe_text, None, False), (text.looks_like_prose, "The cat sat on the mat and slept there all day.", True), (text.looks_like_prose, "function a() { var x = 1; const y = () => x; }", False), (text.looks_like_css, ".a{color:red;} .b{margin:0;}", True), (text.token_estimate, "abcde", 2),
+    (text.split_commas, "a, b,,c ", ["a", "b", "c"]), (text.boilerplate_cut, "Body text. Was this helpful? more", "Body text."), (text.boilerplate_cut, "Was this helpful? first", "Was this helpful? first"), (text.excerpt, "Short one. This sentence has at least eight words in it. End.", "This sentence has at least eight words in it."),
+    (text.is_unsafe_text, "An NSFW guide", True), (text.is_unsafe_text, None, False), (text.looks_like_prose, "The cat sat on the mat and slept there all day.", True), (text.looks_like_prose, "function a() { var x = 1; const y = () => x; }", False), (text.looks_like_css, ".a{color:red;} .b{margin:0;}", True), (text.token_estimate, "abcde", 2),
 ])
 def test_texts(spark, call, given, want):
     assert one(spark, call(F.col("u")), u=given) == want
