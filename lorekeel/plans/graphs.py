@@ -117,20 +117,19 @@ def pagerank_affected(spark: SparkSession, folder: str) -> DataFrame:
     return graph.affected(links, links.agg(F.min("src").alias("node")), 2)
 
 
-#: Over the edges parent_of and contains only, as in the SQL.
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM link_edges WHERE edge_type IN ('parent_of', 'contains') UNION SELECT DISTINCT target_id, source_id FROM link_edges WHERE edge_type IN ('parent_of', 'contains')),
+WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM link_edges UNION SELECT DISTINCT target_id, source_id FROM link_edges),
 w(node, r) AS (SELECT a, a FROM e UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.node) SELECT node, min(r) AS component FROM w GROUP BY node""")
 def components(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.components(edges(spark, folder).filter("edge_type in ('parent_of', 'contains')"))
+    return graph.components(edges(spark, folder))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM link_edges WHERE edge_type = 'references'), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
+WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM link_edges), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
 w(s, t) AS (SELECT node, node FROM n UNION SELECT w.s, e.b FROM w JOIN e ON e.a = w.t)
 SELECT x.s AS node, max(x.t) AS component FROM w x JOIN w y ON x.s = y.t AND x.t = y.s GROUP BY x.s""")
 def strong_components(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.strong_components(edges(spark, folder).filter("edge_type = 'references'"))
+    return graph.strong_components(edges(spark, folder))
 
 
 @query("""
