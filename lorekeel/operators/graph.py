@@ -49,34 +49,47 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     """Rows (node, score). Every node starts at (1-d)/N and only nodes with in-edges change.
 
     Parallel edges count each; with `weight` a column of `edges` shares a
-    node's score out instead. `dangling` spreads the score of nodes without
+    node's score out instead. Where a node's weights add up to 0 its shares are
+    those of IEEE division, as in SQL: NaN for an edge of weight 0, else an
+    infinity. All that it leads to within `iterations` steps then has no finite
+    score, with `dangling` too. `dangling` spreads the score of nodes without
     out-edges over all. `warm` (node, score) gives starting scores; nodes that
     vanished are dropped.
     """
-    n = nodes.select("node").distinct().count()
+    known = cut(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    n = known.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
     base = (1 - damping) / n
+    # The rounds move numbers in place of the nodes. Shares are of all edges of a node, but only edges between nodes carry a score.
+    kept = edges.join(known.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").select("s", "dst", *([weight] if weight else []))
+    kept = kept.join(known.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst", "left")
     share = F.sum(weight) if weight else F.count("*").cast("double")
-    merged = edges.groupBy("src", "dst").agg(share.alias("w"))
-    out = merged.groupBy("src").agg(F.sum("w").alias("out"))
-    links = cut(merged.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
-    score = nodes.select("node").distinct()
-    score = score.join(warm.select("node", F.col("score").alias("s")), "node", "left").select("node", F.coalesce("s", F.lit(base)).alias("score")) if warm is not None else score.withColumn("score", F.lit(base))
-    score = cut(score)
-    targets = links.select(F.col("dst").alias("node")).distinct()
-    still = cut(score.join(targets, "node", "left_anti"))
+    merged = cut(kept.groupBy("s", "d").agg(share.alias("w")))
+    out = merged.groupBy("s").agg(F.sum("w").alias("out"))
+    # Division by 0 is an error in Spark's ANSI mode and null outside it.
+    part = F.when(F.col("out") == 0, F.col("w") * F.lit(float("inf"))).otherwise(F.col("w") / F.col("out"))
+    links = cut(merged.filter("d is not null").join(out, "s").select("s", "d", part.alias("p")))
+    sources = cut(out.select(F.col("s").alias("id"))) if dangling else None
+    targets = links.select(F.col("d").alias("id")).distinct()
+    if warm is None:
+        score = known.select("id", F.lit(base).alias("score"))
+        still = cut(score.join(targets, "id", "left_anti"))
+    else:
+        score = cut(known.join(warm.select("node", "score"), "node", "left").select("id", F.coalesce("score", F.lit(base)).alias("score")))
+        fed = known.join(edges.select(F.col("dst").alias("node")), "node", "left_semi").select("id", F.lit(base).alias("b"))
+        still = cut(score.join(targets, "id", "left_anti").join(fed, "id", "left").select("id", F.coalesce("b", "score").alias("score")))
     for i in range(max(1, iterations)):
-        flow = score.join(links, score["node"] == links["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("in"))
+        flow = score.join(links, score["id"] == links["s"]).groupBy("d").agg(F.sum(F.col("score") * F.col("p")).alias("in"))
         spread = 0.0
         if dangling:
-            lost = score.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+            lost = score.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
             spread = damping * lost / n
-        moved = flow.select(F.col("dst").alias("node"), (F.lit(base + spread) + damping * F.col("in")).alias("score")).join(nodes.select("node").distinct(), "node", "left_semi")
-        score = moved.unionByName(still if not dangling else still.select("node", F.lit(base + spread).alias("score")))
+        moved = flow.select(F.col("d").alias("id"), (F.lit(base + spread) + damping * F.col("in")).alias("score"))
+        score = moved.unionByName(still if not dangling else still.select("id", F.lit(base + spread).alias("score")))
         if i % EVERY == EVERY - 1:
             score = cut(score)
-    return score
+    return known.join(score, "id").select("node", "score")
 
 
 def affected(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:

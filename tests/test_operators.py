@@ -1,5 +1,6 @@
 """Fusion, ranking, search, duplicates, graphs, logs and streams on small inputs."""
 
+import math
 import random
 from datetime import datetime
 
@@ -169,6 +170,31 @@ def test_pagerank_of_a_chain_and_options(spark):
     assert graph.pagerank(nodes.limit(0), edges(spark, [])).count() == 0
 
 
+def test_pagerank_keeps_nodes_whose_links_come_from_elsewhere(spark):
+    nodes = spark.createDataFrame([(n,) for n in "abc"], "node string")
+    links = edges(spark, [("q", "a"), (None, "a"), ("a", "b"), ("a", "r"), ("b", None)])
+    want = {"a": pytest.approx(0.05), "b": pytest.approx(0.05 * (1 + 0.85 / 2)), "c": pytest.approx(0.05)}
+    assert {r["node"]: r["score"] for r in graph.pagerank(nodes, links).collect()} == want
+    warm = spark.createDataFrame([("a", 0.7), ("b", 0.1), ("c", 0.2), ("z", 0.3)], "node string, score double")
+    assert {r["node"]: r["score"] for r in graph.pagerank(nodes, links, warm=warm).collect()} == want | {"c": 0.2}
+    assert graph.pagerank(nodes, links, dangling=True).count() == 3
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_weighted_pagerank_where_weights_add_up_to_nothing(spark, ansi):
+    nodes = spark.createDataFrame([(n,) for n in "abcdefgx"], "node string")
+    rows = [("a", "b", 0.0), ("b", "c", 1.0), ("d", "e", 1.0), ("d", "f", -1.0), ("x", "g", 2.0), ("x", "g", 1.0), ("x", "d", 0.0)]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = {r["node"]: r["score"] for r in graph.pagerank(nodes, edges(spark, rows, "weight double"), iterations=10, weight="weight").collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    base = 0.15 / 8
+    assert math.isnan(got["b"]) and math.isnan(got["c"]) and got["e"] == math.inf and got["f"] == -math.inf
+    assert got["g"] == pytest.approx(base * 1.85) and all(got[n] == pytest.approx(base) for n in "adx") and len(got) == 8
+
+
 def test_components(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("y", "z"), ("z", "z")]
     got = {r["node"]: r["component"] for r in graph.components(edges(spark, chain)).collect()}

@@ -57,3 +57,17 @@ def test_spark_agrees_with_sql(spark, tables, name):
 def test_queries_without_sql_run(spark, name):
     df = registry.queries()[name](spark, str(TABLES))
     assert df.columns and df.count() > 0
+
+
+def test_weighted_pagerank_agrees_with_sql_where_a_source_has_no_weight(spark, tmp_path):
+    ids = [*"abcdefgx", "g", None]
+    links = [("a", "b", 0.0), ("b", "c", 1.0), ("d", "e", 1.0), ("d", "f", -1.0), ("x", "g", None), ("x", "d", 0.0), ("x", None, 3.0), (None, "x", 1.0), ("q", "x", 0.0)]
+    con = duckdb.connect()
+    spark.createDataFrame([(i, "www.x.example") for i in ids], "id string, domain string").write.parquet(f"{tmp_path}/url_nodes.parquet")
+    spark.createDataFrame([(*link, "", "hyperlink") for link in links], "source_id string, target_id string, weight double, anchor_text string, edge_type string").write.parquet(f"{tmp_path}/link_edges.parquet")
+    for name in ("url_nodes", "link_edges"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = dict(con.execute(registry.oracle_sql()["pagerank_weighted"]).fetchall())
+    got = {r["node"]: r["score"] for r in registry.queries()["pagerank_weighted"](spark, str(tmp_path)).collect()}
+    assert math.isnan(want["b"]) and math.isinf(want["e"]) and want["g"] > want["x"]
+    assert got == pytest.approx(want, abs=1e-9, nan_ok=True)
